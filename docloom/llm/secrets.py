@@ -126,12 +126,16 @@ def scan(docs: DataFrame, table: list[float], text: str = "text", threshold: flo
     base = F.concat("_assign", "_access", "_hex")
     random = F.filter("_markov", lambda s: (likelihood_ratio(s["match"], table) >= threshold) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     out = out.withColumn("_markov", random)
-    each = [F.transform(f"_{kind}", lambda s, k=k: F.struct(s["start"].alias("start"), F.lit(k).alias("order"), s["end"].alias("end"), s["match"].alias("match"))) for k, kind in enumerate(KINDS)]
+    each = [F.transform(f"_{kind}", _ordered(k)) for k, kind in enumerate(KINDS)]
     kinds = F.array(*[F.lit(k) for k in KINDS])
     ordered = F.transform(F.array_sort(F.concat(*each)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(kinds, s["order"]).alias("kind"), s["match"].alias("match")))
     return out.select(*columns, ordered.alias("secrets"))
 
 
+def _ordered(order: int):
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), s["match"].alias("match"))
+
+
 def redact(found: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replace the union of each text's secrets (of ``scan``) by a mark; texts without any stay as they are."""
     kind = "struct<at:int,out:array<string>>"
