@@ -156,7 +156,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
     """
     with open(model, "rb") as f:
         proto = f.read()
-    fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
 
     def make():
         coder = codec(proto, checked)
