@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,7 +82,7 @@ def map_rows(df: DataFrame, fields: list[T.StructField], make: Callable[[], Call
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts together have about ``most`` bytes (a longer text is alone)."""
-    lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+    lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
     lengths = lengths.fill_null(0).to_numpy(zero_copy_only=False)
     start = size = 0
     for i, n in enumerate(lengths.tolist()):

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,7 +203,7 @@ def _stage(docs: DataFrame, text: str, phrases: Phrases, remove: bool, shard: in
             out = [pa.array(np.diff(w.first)), lists(ids.take(pa.array(item)), row, len(column)), lists(spans, w.row[first], len(column))]
             if remove:
                 left = cut_out(text_bytes(column)[0], w.row_start, w.start[first], w.end[last])
-                out.append(pa.compute.if_else(column.is_null(), pa.scalar(None, pa.string()), left) if column.null_count else left)
+                out.append(pc.if_else(column.is_null(), pa.scalar(None, pa.string()), left) if column.null_count else left)
             return out
 
         def work(batch: pa.RecordBatch) -> dict:

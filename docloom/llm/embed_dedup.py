@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def _keys(classes: DataFrame, tables: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = pa.compute.list_value_length(batch.column(2)).to_numpy()
+            dims = pc.list_value_length(batch.column(2)).to_numpy()
             for d in np.unique(dims):
                 for rows in np.array_split(np.flatnonzero(dims == d), max(1, len(dims) * int(d) // 1_000_000)):
                     if not len(rows):

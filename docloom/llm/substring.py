@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,7 +73,7 @@ def anchors(keyed: DataFrame, text: str, length: int, gram: int) -> DataFrame:
 
 def _expand(column: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
     """The row of each list item and the items (null lists have none)."""
-    sizes = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     return np.repeat(np.arange(len(column)), sizes), column.flatten()
 
 
