@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 import re
+from array import array
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +21,17 @@ CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 class Codec:
     """Encoder and decoder for one model; chunks' ids are kept between batches (``keep`` chunks, in two generations).
 
-    ``checked`` compares every newly encoded chunk, its ids and its decoded text, with the sentencepiece library.
+    ``checked`` compares every newly encoded chunk, its ids and what they decode to, with the sentencepiece library.
     """
 
-    def __init__(self, model: bytes, checked: bool = True, keep: int = 400_000):
+    def __init__(self, model: bytes, checked: bool = True, keep: int = 700_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.checked, self.keep = checked, keep
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.scores: dict[str, float] = {}
+        scores: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.surface: list[bytes] = []
         self.bytes: list[int] = [-1] * 256
@@ -44,44 +45,73 @@ class Codec:
             elif self.library.is_control(i):
                 self.surface.append(b"")
             else:
-                self.scores[piece] = self.library.get_score(i)
+                scores[piece] = self.library.get_score(i)
                 self.ids[piece] = i
                 self.surface.append(piece.replace(SPACE, " ").encode())
                 if re.search(f"[^{SPACE}]{SPACE}", piece):
                     raise ValueError(f"piece {piece!r} has a space after its start; chunks would not be independent")
+        order = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.rank = {piece: order[score] for piece, score in scores.items()}
+        self.pairs = {piece[i : i + 2] for piece in scores for i in range(len(piece) - 1)}
+        self.parts: dict[str, list[int]] = {}
+        self.lead = [x.startswith(b" ") and not self.library.is_unknown(i) for i, x in enumerate(self.surface)]
         if -1 in self.bytes:
             raise ValueError("the vocabulary has no byte fallback")
 
     def pieces(self, chunk: str) -> list[str]:
         """Merge adjacent symbols, the pair of highest score first (of equal ones the leftmost), while any pair is a piece."""
         symbols: list[str] = list(chunk)
-        after = [*range(1, len(symbols)), -1]
-        before = [*range(-1, len(symbols) - 1)]
-        scores, agenda = self.scores, []
-        for i in range(len(symbols) - 1):
-            if (score := scores.get(symbols[i] + symbols[i + 1])) is not None:
-                agenda.append((-score, i, i + 1, 2))
-        heapq.heapify(agenda)
+        n = len(symbols)
+        after = [*range(1, n), -1]
+        before = [*range(-1, n - 1)]
+        # An entry packs rank, left position and size. A pair is as it was if it still has that size, for sizes only grow.
+        rank, bits = self.rank.get, n.bit_length()
+        low, both = (1 << bits) - 1, 2 * bits
+        agenda = []
+        for i in range(n - 1):
+            if (r := rank(symbols[i] + symbols[i + 1])) is not None:
+                agenda.append(r << both | i << bits | 2)
+        heapify(agenda)
         while agenda:
-            _, left, right, size = heapq.heappop(agenda)
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != size:
+            entry = heappop(agenda)
+            left = entry >> bits & low
+            own, right = symbols[left], after[left]
+            if not own or right < 0:
                 continue
-            symbols[left] += symbols[right]
+            own += symbols[right]
+            if len(own) != entry & low:
+                continue
+            symbols[left] = own
             symbols[right] = ""
             after[left] = follows = after[right]
             if follows >= 0:
                 before[follows] = left
-                if (score := scores.get(pair := symbols[left] + symbols[follows])) is not None:
-                    heapq.heappush(agenda, (-score, left, follows, len(pair)))
-            if (leads := before[left]) >= 0 and (score := scores.get(pair := symbols[leads] + symbols[left])) is not None:
-                heapq.heappush(agenda, (-score, leads, left, len(pair)))
+                pair = own + symbols[follows]
+                if (r := rank(pair)) is not None:
+                    heappush(agenda, r << both | left << bits | len(pair))
+            leads = before[left]
+            if leads >= 0:
+                pair = symbols[leads] + own
+                if (r := rank(pair)) is not None:
+                    heappush(agenda, r << both | leads << bits | len(pair))
         return [s for s in symbols if s]
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.pieces(chunk):
-            i = self.ids.get(piece)
-            out.extend([self.bytes[b] for b in piece.encode()] if i is None else [i])
+        """Ids of a chunk: of its parts between character pairs that no piece has, for no merge crosses these."""
+        inside, out, start = self.pairs, [], 0
+        known = self.parts
+        for end in [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in inside] + [len(chunk)]:
+            part = chunk[start:end]
+            ids = known.get(part)
+            if ids is None:
+                ids = []
+                for piece in self.pieces(part):
+                    i = self.ids.get(piece)
+                    ids.extend([self.bytes[b] for b in piece.encode()] if i is None else [i])
+                if len(part) <= 64:
+                    known[part] = ids
+            out += ids
+            start = end
         return out
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
@@ -93,10 +123,10 @@ class Codec:
             for (chunk, text), ids in zip(texts.items(), self.library.encode(list(texts.values()), num_threads=1)):
                 if ids != new[chunk]:
                     raise ValueError(f"ids differ from the library's for {text!r}: {new[chunk]} and {ids}")
-            for (chunk, text), back in zip(texts.items(), self.library.decode([new[c] for c in texts], num_threads=1)):
-                if back != self.decode(new[chunk]):
-                    raise ValueError(f"decoded text differs from the library's for {text!r}")
-        return {c: np.array(ids, dtype=np.int32).tobytes() for c, ids in new.items()}
+            for text, back in zip(texts.values(), self.library.decode([new[c] for c in texts], num_threads=1)):
+                if back != text:
+                    raise ValueError(f"the library decodes the ids of {text!r} to {back!r}")
+        return {c: array("i", ids).tobytes() for c, ids in new.items()}
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none, like an empty one."""
@@ -104,12 +134,9 @@ class Codec:
         young, old = self.young, self.old
         missing = set()
         for part in parts:
-            for c in part:
-                if c not in young:
-                    if c in old:
-                        young[c] = old[c]
-                    else:
-                        missing.add(c)
+            missing.update(set(part).difference(young))
+        young |= {c: old[c] for c in missing if c in old}
+        missing.difference_update(young)
         fresh = self.learn(missing)
         young |= {c: ids for c, ids in fresh.items() if len(c) <= 64}
         long = {c: ids for c, ids in fresh.items() if len(c) > 64}
@@ -117,15 +144,26 @@ class Codec:
         out = [b"".join(map(get, part)) for part in parts]
         if len(young) > self.keep // 2:
             self.old, self.young = young, {}
+        if len(self.parts) > self.keep // 2:
+            self.parts = {}
         return out
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces' surfaces joined, without the space that encoding puts before a text."""
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") and ids and self._first(ids) else text
-
-    def _first(self, ids: list[int]) -> bool:
-        return next((self.surface[i].startswith(b" ") and not self.library.is_unknown(i) for i in ids if self.surface[i]), False)
+        return text[1:] if text[:1] == " " and self.lead[next(i for i in ids if self.surface[i])] else text
+
+
+    def decode_batch(self, found: list[bytes], texts: list[str | None]) -> list[str]:
+        """Text of each text's ids. Where it isn't the text itself it is held against the library's."""
+        out = []
+        for raw, text in zip(found, texts):
+            ids = array("i", raw).tolist()
+            back = self.decode(ids)
+            if self.checked and back != (text or "") and back != self.library.decode(ids):
+                raise ValueError(f"decoded text differs from the library's: {back!r}")
+            out.append(back)
+        return out
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -162,10 +200,11 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
         coder = codec(proto, checked)
 
         def part(column: pa.Array) -> list[pa.Array]:
-            found = coder.encode_batch(column.to_pylist())
+            texts = column.to_pylist()
+            found = coder.encode_batch(texts)
             out = [_ids_array(found)]
             if decoded:
-                out.append(pa.array([coder.decode(np.frombuffer(x, dtype=np.int32).tolist()) for x in found], pa.string()))
+                out.append(pa.array(coder.decode_batch(found, texts), pa.string()))
             return out
 
         def work(batch: pa.RecordBatch) -> dict:
