@@ -25,7 +25,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     rows = []
     for y, names, paths in ((1, BLOCKED_WORDS, BLOCKED_PATHS), (0, ALLOWED_WORDS, ALLOWED_PATHS)):
         rows += [(f"https://{('www.', '', 'm.', 'my-')[i % 4]}{name}{('', '-online', '24', 's')[k % 4]}.example.{('com', 'net', 'org')[(i + k) % 3]}{path}", y) for i, name in enumerate(names) for k, path in enumerate(paths)]
-    return spark.createDataFrame(rows, "url string, blocked int").coalesce(1)
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{url}', {y})" for url, y in rows) + " AS t(url, blocked)")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
