@@ -92,3 +92,18 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
         size += n
     if len(lengths) > start:
         yield start, len(lengths)
+
+
+_resident: dict = {}
+
+
+def resident(key: tuple | None, make: Callable | None = None):
+    """This worker's one large model: made at a key's first use, dropped when another is asked for (or None).
+
+    Workers outlive tasks and operators; without this each operator's model would stay beside the next one's.
+    """
+    if key not in _resident:
+        _resident.clear()
+        if key is not None:
+            _resident[key] = make()
+    return _resident.get(key)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_rows, without
+from .common import map_rows, resident, without
 
 SPACE = "▁"
 #: A chunk: no piece has a space mark after another character, so no merge crosses the start of a run of marks.
@@ -24,7 +24,7 @@ class Codec:
     ``checked`` compares every newly encoded chunk, its ids and what they decode to, with the sentencepiece library.
     """
 
-    def __init__(self, model: bytes, checked: bool = True, keep: int = 700_000):
+    def __init__(self, model: bytes, checked: bool = True, keep: int = 300_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -166,16 +166,9 @@ class Codec:
         return out
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
 def codec(model: bytes, checked: bool = True) -> Codec:
     """This process's codec for a model; tasks that follow each other share it."""
-    key = (len(model), hash(model), checked)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(model, checked)
-    return _codecs[key]
+    return resident(("codec", len(model), hash(model), checked), lambda: Codec(model, checked))
 
 
 def _ids_array(parts: list[bytes]) -> pa.Array:
