@@ -5,6 +5,183 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions import text as fn
+from docloom.operators import bm25, reconcile, rules, search, trees
+from docloom.sources.tables import table
+from docloom.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+FLAGSHIP = "search_lines"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_LINES = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM documents),
+hits AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM lines WHERE regexp_matches(line, '(?i)license')),
+capped AS (SELECT doc_id, line_no, line, len(regexp_extract_all(line, '(?i)license'))::BIGINT AS n_matches FROM hits WHERE r <= 50)"""
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line_no, line, n_matches FROM capped")
+def search_lines(spark: SparkSession, d: str) -> DataFrame:
+    return search.search_lines(table(spark, d, "documents"), "license")
+
+
+@query(f"WITH {_LINES} SELECT doc_id, count(*) AS n_lines, sum(n_matches)::BIGINT AS n_matches, min(line_no) AS first_line FROM capped GROUP BY 1")
+def search_grouped(spark: SparkSession, d: str) -> DataFrame:
+    return search.group_matches(search.search_lines(table(spark, d, "documents"), "license"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line_no, line, n_matches FROM capped ORDER BY 1, 2 LIMIT 100")
+def search_truncated(spark: SparkSession, d: str) -> DataFrame:
+    return search.total_limit(search.search_lines(table(spark, d, "documents"), "license"), 100)
+
+
+@query(
+    """SELECT conv_id, turn, role, line_no, line FROM (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM conversations)
+WHERE regexp_matches(line, 'Thtion')"""
+)
+def search_conversations(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").withColumn("key", F.struct("conv_id", "turn", "role"))
+    found = search.search_lines(rows, "Thtion", key="key", per_document=None)
+    return found.select("key.*", "line_no", "line")
+
+
+_BM25 = r"""WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+post AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM docs) GROUP BY ALL),
+corpus AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs),
+raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM post, corpus GROUP BY term, n),
+terms AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw)"""
+
+
+@query(
+    _BM25
+    + r""", q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN terms USING (term) JOIN post USING (term), corpus GROUP BY ALL)
+SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 5"""
+)
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return bm25.top_k(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+@query(_BM25 + " SELECT term, round(idf, 9) AS idf FROM terms")
+def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    terms, _ = bm25.statistics(docs, bm25.postings(docs, "doc_id", "text"), "text")
+    return terms.select("term", F.round("idf", 9).alias("idf"))
+
+
+@query("SELECT sha256(text) AS body_hash, count(*) AS n_docs, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", fn.body_hash(F.col("text")).alias("body_hash"))
+    return docs.groupBy("body_hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id")).where("n_docs > 1")
+
+
+def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    desired = docs.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("title"), F.col("source").alias("parent_id"), F.lit("current").alias("status"), F.col("n_chars").alias("version"), F.array("lang", "source").alias("labels"))
+    current = labels.select(
+        F.col("doc_id").alias("page_id"),
+        F.lit("en").alias("title"),
+        F.when(F.col("quality") == 1, "src1").otherwise("src2").alias("parent_id"),
+        F.when(F.col("toxic") == 1, "archived").otherwise("Current").alias("status"),
+        F.lit(2000).cast("long").alias("version"),
+        F.array(F.lit("src1"), F.lit("en")).alias("labels"),
+        (F.col("quality") == 0).alias("attachments_skipped"),
+    )
+    return desired, current
+
+
+_EVENTS = """WITH s AS (SELECT coalesce(documents.doc_id, labels.doc_id) AS page_id, documents.doc_id IS NOT NULL AS remote, labels.doc_id IS NOT NULL AS local,
+  CASE WHEN toxic = 1 THEN 'UNARCHIVE' END AS archive,
+  CASE WHEN lang <> 'en' AND source <> CASE WHEN quality = 1 THEN 'src1' ELSE 'src2' END THEN 'RENAME_MOVE' WHEN lang <> 'en' THEN 'RENAME' WHEN source <> CASE WHEN quality = 1 THEN 'src1' ELSE 'src2' END THEN 'MOVE' END AS structure,
+  CASE WHEN n_chars > 2000 OR quality = 0 THEN 'CONTENT_EDIT' END AS content, list_sort([lang, source]) <> ['en', 'src1'] AS drift
+  FROM documents FULL JOIN labels ON documents.doc_id = labels.doc_id),
+e AS (SELECT page_id, unnest(CASE WHEN NOT local THEN ['NEW'] WHEN NOT remote THEN ['DELETED'] ELSE [archive, structure, content, CASE WHEN archive IS NULL AND structure IS NULL AND content IS NULL AND drift THEN 'METADATA_ONLY' END] END) AS kind FROM s),
+events AS (SELECT page_id, kind FROM e WHERE kind IS NOT NULL)"""
+
+
+@query(_EVENTS + " SELECT page_id, kind FROM events")
+def sync_events(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.page_events(*_states(spark, d))
+
+
+@query(_EVENTS + " SELECT kind, count(*) AS n FROM events GROUP BY 1")
+def sync_event_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.page_events(*_states(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(_EVENTS + " SELECT page_id, CASE WHEN kind = 'CONTENT_EDIT' AND page_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'CONFLICT' ELSE kind END AS kind FROM events")
+def sync_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    edited = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("page_id"))
+    return reconcile.upgrade(reconcile.page_events(*_states(spark, d)), edited, "CONTENT_EDIT", "CONFLICT")
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_returnflag <> 'A' AS office, l_tax > 0.01 AS markdown, l_quantity > 48 AS locked, l_discount > 0.01 AS synced, l_quantity > 25 AS office_same, l_linestatus = 'O' AS markdown_same, l_returnflag = 'R' AS up FROM lineitem)
+SELECT CASE WHEN locked AND office THEN 'word_locked' WHEN NOT markdown THEN 'first_sync_docx_authoritative' WHEN NOT office THEN 'first_sync_md_authoritative' WHEN NOT synced THEN 'first_sync_both_docx_wins'
+  WHEN office_same AND markdown_same THEN 'no_op' WHEN markdown_same THEN 'docx_to_md' WHEN NOT up THEN 'skip_md_update' WHEN office_same THEN 'md_to_docx' ELSE 'diverged' END AS action, count(*) AS n FROM p GROUP BY 1"""
+)
+def pair_action_counts(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    action = reconcile.pair_action(c("l_returnflag") != "A", c("l_tax") > 0.01, c("l_quantity") > 48, c("l_discount") > 0.01, c("l_quantity") > 25, c("l_linestatus") == "O", c("l_returnflag") == "R")
+    return table(spark, d, "lineitem").groupBy(action.alias("action")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, regexp_replace(regexp_replace(trim(p_name), '[\\s/\\\\:*?"<>|]+', '-', 'g'), '^-+|-+$', '', 'g') AS name FROM part""")
+def repo_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", fn.repo_name(F.col("p_name")).alias("name"))
+
+
+@query("SELECT page_id, translate(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1'), '-_', '  ') AS title FROM pages")
+def path_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", fn.path_title(F.col("url")).alias("title"))
+
+
+@query(
+    """SELECT n_nationkey + 100 AS node_id, 1 AS depth, r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT r_regionkey, 0, r_name FROM region"""
+)
+def page_tree(spark: SparkSession, d: str) -> DataFrame:
+    roots = table(spark, d, "region").select(F.col("r_regionkey").alias("node_id"), F.lit(None).cast("int").alias("parent_id"), F.col("r_name").alias("title"))
+    leaves = table(spark, d, "nation").select((F.col("n_nationkey") + 100).alias("node_id"), F.col("n_regionkey").alias("parent_id"), F.col("n_name").alias("title"))
+    return trees.page_paths(spark, roots.unionByName(leaves))
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE NOT (lower(source) = 'src3' OR starts_with(lower(source), 'src1')) GROUP BY 1")
+def blacklist_gate(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.where(rules.first_match(F.col("source"), ["SRC3", "Src1*"]).isNull()).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority, sum(CASE WHEN floor(epoch(TIMESTAMP '1998-08-02' - o_orderdate) / 86400) > 365 THEN 1 ELSE 0 END)::BIGINT AS stale, count(*) AS n FROM orders GROUP BY 1")
+def stale_partition(spark: SparkSession, d: str) -> DataFrame:
+    age = rules.age_days(F.lit("1998-08-02").cast("timestamp"), F.col("o_orderdate").cast("timestamp"))
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.sum((age > 365).cast("long")).alias("stale"), F.count("*").alias("n"))
+
+
+@query(
+    """WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT user_id, floor(epoch(min(ts)))::BIGINT AS started, count(*) AS n_events FROM s GROUP BY user_id, k"""
+)
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return windows.sessions(table(spark, d, "events")).select("user_id", F.unix_timestamp("start").alias("started"), "n_events")
+
+
+@query("SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY 1")
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations")
+    return rows.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("conv_id").alias("conversations"))
