@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def repo_name(name: Column) -> Column:
@@ -36,3 +38,75 @@ def body_hash(text: Column) -> Column:
 def escape_markdown(text: Column) -> Column:
     """A backslash before each ASCII punctuation character."""
     return F.regexp_replace(text, r"([!-/:-@\[-`{-~])", r"\\$1")
+
+
+@F.pandas_udf(T.StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Unicode normal form C, which no built-in function gives; for titles that may hold decomposed letters."""
+    return text.str.normalize("NFC")
+
+
+def safe_name(title: Column) -> Column:
+    """A title (in normal form C) as a file name: no forbidden characters, no blanks, dots, dashes or ``..`` that could climb folders.
+
+    At most 200 characters; what leaves nothing becomes ``untitled``; null stays null.
+    """
+
+    def named(x: Column) -> Column:
+        return F.when(x == "", "untitled").otherwise(x)
+
+    def dashed(x: Column) -> Column:
+        return named(F.regexp_replace(F.regexp_replace(x, "-+", "-"), r"^-|-\z", ""))
+
+    spaced = F.regexp_replace(title, r"[\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+", " ")
+    bare = F.regexp_replace(F.regexp_replace(spaced, r'[<>:"/\\|?*\n\t\r]', "-"), r"^[. ]+|[. ]+\z", "")
+    short = named(F.substring(F.regexp_replace(bare, "-+", "-"), 1, 200))
+    return dashed(F.replace(dashed(named(F.regexp_replace(short, "^~+", ""))), F.lit(".."), F.lit("-")))
+
+
+def slug(title: Column) -> Column:
+    """A title percent-encoded for a URL's last segment, blanks as plus signs."""
+    return F.replace(F.replace(F.url_encode(title), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def page_url(base: Column, space: Column, page_id: Column, title: Column) -> Column:
+    """Address of a page: base, space, id and slug."""
+    return F.concat(base, F.lit("/wiki/spaces/"), space, F.lit("/pages/"), page_id.cast("string"), F.lit("/"), slug(title))
+
+
+def page_ref(text: Column, host: str) -> Column:
+    """Struct of space and page_id from a bare id (no space) or a page's address at ``host``; null for anything else."""
+    address = r"^https?://([^/:?#]+)(?::\d+)?/wiki/spaces/([^/?#]+)/pages/(\d+)(?:[/?#].*)?$"
+    shape = "struct<space:string,page_id:string>"
+    here = text.rlike(address) & (F.lower(F.regexp_extract(text, address, 1)) == host.lower())
+    of_address = F.struct(F.regexp_extract(text, address, 2).alias("space"), F.regexp_extract(text, address, 3).alias("page_id"))
+    bare = F.struct(F.lit(None).cast("string").alias("space"), F.trim(text).alias("page_id"))
+    return F.when(text.rlike(r"^\s*\d+\s*$"), bare).when(here, of_address).cast(shape)
+
+
+def date_in(text: Column) -> Column:
+    """The first YYYY-MM-DD or YYYY/MM/DD in a text as a date; null without one or if there is no such day."""
+    day = r"(\d{4})[-/](\d{2})[-/](\d{2})"
+    return F.regexp_replace(F.regexp_extract(text, day, 0), "/", "-").try_cast("date")
+
+
+def short_hash(content: Column) -> Column:
+    """The first 16 hex digits of SHA-1, as names of stored images have them."""
+    return F.substring(F.sha1(content.cast("binary")), 1, 16)
+
+
+def attributes(info: Column) -> Column:
+    """Map of the ``key="value"`` pairs in the first braces of a text; the last of equal keys holds; backslash escapes are undone."""
+    pair = r'([A-Za-z_][\w:-]*)="((?:[^"\\]|\\.)*)"'
+    inside = F.regexp_extract(info, r"\{([^}]*)\}", 1)
+    keys, values = (F.regexp_extract_all(inside, F.lit(pair), F.lit(k)) for k in (1, 2))
+    plain = F.transform(values, lambda v: F.replace(F.replace(v, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")))
+    at = F.sequence(F.lit(1), F.greatest(F.size(keys), F.lit(1)))
+    last = F.filter(at, lambda i: (i <= F.size(keys)) & ~F.array_contains(F.slice(keys, i + 1, F.greatest(F.size(keys) - i, F.lit(0))), F.get(keys, i - 1)))
+    return F.map_from_arrays(F.transform(last, lambda i: F.get(keys, i - 1)), F.transform(last, lambda i: F.get(plain, i - 1)))
+
+
+def without_empty_headings(text: Column) -> Column:
+    """A text without lines that are only a heading's marks, and without headings deeper than six."""
+    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^(#{1,6}\s*$|#{7,})"))
+    return F.array_join(lines, "\n")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as fn
-from docloom.operators import bm25, reconcile, rules, search, trees
+from docloom.operators import bm25, mirrors, names, reconcile, rules, search, trees
 from docloom.sources.tables import table
 from docloom.streaming import windows
 
@@ -185,3 +185,91 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations")
     return rows.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("conv_id").alias("conversations"))
+
+
+_SAFE = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(p_name || ': ' || p_type || '?..', ' +', ' ', 'g'), '[<>:"/\\\\|?*]', '-', 'g'), '^[. ]+|[. ]+$', '', 'g'), '-+', '-', 'g')"""
+
+
+@query(f"SELECT p_partkey, regexp_replace(regexp_replace(replace(regexp_replace({_SAFE}, '^-|-$', '', 'g'), '..', '-'), '-+', '-', 'g'), '^-|-$', '', 'g') AS name FROM part")
+def safe_names(spark: SparkSession, d: str) -> DataFrame:
+    title = F.concat("p_name", F.lit(": "), "p_type", F.lit("?.."))
+    return table(spark, d, "part").select("p_partkey", fn.safe_name(title).alias("name"))
+
+
+@query(
+    """SELECT p_partkey, 'https://wiki.test/wiki/spaces/' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || '/pages/' || p_partkey || '/' || replace(url_encode(p_name || ' ~*' || p_type), '%20', '+') AS url,
+  regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') AS space, p_partkey::VARCHAR AS page_id FROM part"""
+)
+def page_urls(spark: SparkSession, d: str) -> DataFrame:
+    space = F.regexp_replace("p_brand", "[^A-Za-z0-9]", "")
+    url = fn.page_url(F.lit("https://wiki.test"), space, F.col("p_partkey"), F.concat("p_name", F.lit(" ~*"), "p_type"))
+    rows = table(spark, d, "part").select("p_partkey", url.alias("url"))
+    return rows.withColumn("ref", fn.page_ref(F.col("url"), "wiki.test")).select("p_partkey", "url", "ref.space", "ref.page_id")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def dates_in_text(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("Last reviewed "), F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit(" by 2001-01-01"))
+    return table(spark, d, "orders").select("o_orderkey", fn.date_in(text).cast("string").alias("day"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS body_hash FROM documents")
+def body_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", fn.body_hash(F.coalesce("text", F.lit(""))).alias("body_hash"))
+
+
+@query("SELECT doc_id, source, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY source, lang) THEN coalesce(lang, doc_id::VARCHAR) ELSE coalesce(lang, doc_id::VARCHAR) || '(' || doc_id || ')' END AS name FROM documents")
+def sibling_names(spark: SparkSession, d: str) -> DataFrame:
+    return names.sibling_names(table(spark, d, "documents").select("doc_id", "source", "lang"), "source", "doc_id", "lang").select("doc_id", "source", "name")
+
+
+@query("SELECT p_partkey, p_brand || '/' || p_name || CASE WHEN count(*) OVER (PARTITION BY p_brand, p_name) > 1 THEN ' (' || p_partkey || ')' ELSE '' END || '.md' AS path FROM part")
+def collided_paths(spark: SparkSession, d: str) -> DataFrame:
+    return names.collided_paths(table(spark, d, "part"), "p_brand", "p_name", "p_partkey").select("p_partkey", "path")
+
+
+@query(
+    """WITH f AS (SELECT l_linenumber % 2 = 0 AS has_md, l_quantity > 45 AS ignored, lower(l_shipmode) AS ext FROM (SELECT l_linenumber, l_quantity, ['docx', 'md', 'PDF', 'xls', 'txt', 'pptx'][1 + l_partkey % 6] AS l_shipmode FROM lineitem))
+SELECT CASE WHEN ignored THEN 'skip_ignored' WHEN ext = 'md' THEN 'copy_markdown' WHEN ext = 'xls' THEN 'ignore' WHEN ext = 'txt' THEN 'skip_with_warning' WHEN has_md THEN 'copy_markdown' ELSE 'convert_' || ext END AS action, count(*) AS n FROM f GROUP BY 1"""
+)
+def file_action_counts(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ["docx", "md", "PDF", "xls", "txt", "pptx"]))
+    path = F.concat(F.lit("site/a.b."), F.element_at(kinds, (1 + F.col("l_partkey") % 6).cast("int")))
+    action = mirrors.file_action(path, F.col("l_linenumber") % 2 == 0, F.col("l_quantity") > 45)
+    return table(spark, d, "lineitem").groupBy(action.alias("action")).agg(F.count("*").alias("n"))
+
+
+_PATHS = "WITH p AS (SELECT page_id, regexp_replace(url, '^[^:]*://', '') AS path FROM pages)"
+
+
+@query(
+    _PATHS
+    + """, c AS (SELECT DISTINCT regexp_extract(path, '^([^/]*/[^/]*)/', 1) AS a FROM p WHERE page_id % 3 = 0 UNION SELECT DISTINCT regexp_extract(path, '^([^/]*)/', 1) FROM p WHERE page_id % 5 = 0)
+SELECT page_id, (SELECT max_by(a, len(a)) FROM c WHERE a <> '' AND starts_with(p.path, a || '/')) AS ancestor FROM p"""
+)
+def nearest_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[^:]*://", "").alias("path"))
+    deep = pages.where("page_id % 3 = 0").select(F.regexp_extract("path", "^([^/]*/[^/]*)/", 1).alias("path"))
+    flat = pages.where("page_id % 5 = 0").select(F.regexp_extract("path", "^([^/]*)/", 1).alias("path"))
+    return mirrors.nearest_ancestor(pages, deep.union(flat).where("path <> ''")).select("page_id", "ancestor")
+
+
+@query("SELECT d.doc_id, NOT coalesce(l.quality = 1 AND l.toxic = 0, false) AS needed FROM documents d LEFT JOIN labels l USING (doc_id)")
+def conversions_needed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("sha256"))
+    labels = table(spark, d, "labels")
+    good = F.when(F.col("quality") == 1, F.sha2(F.col("doc_id").cast("string"), 256)).otherwise("changed")
+    manifest = labels.select("doc_id", good.alias("sha256"), F.when(F.col("toxic") == 0, "v2").otherwise("v1").alias("converter_version"))
+    return mirrors.conversions(docs, manifest, "v2", "doc_id").select("doc_id", "needed")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) AS r FROM lineitem) WHERE r = 1")
+def latest_rows(spark: SparkSession, d: str) -> DataFrame:
+    return mirrors.latest(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT CASE WHEN source = 'src1' THEN 'first' WHEN lang = 'de' THEN 'second' WHEN regexp_matches(text, '(?i)license') THEN 'third' END AS owner, count(*) AS n FROM documents GROUP BY 1")
+def owner_counts(spark: SparkSession, d: str) -> DataFrame:
+    owners = [{"name": "third", "patterns": ["(?i)license"]}, {"name": "second", "accounts": ["de"]}, {"name": "first", "spaces": ["src1"]}]
+    owner = mirrors.owner(F.col("source"), F.array(F.col("source")), F.col("lang"), F.col("text"), owners)
+    return table(spark, d, "documents").groupBy(owner.alias("owner")).agg(F.count("*").alias("n"))

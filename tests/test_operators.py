@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from docloom.functions import text as fn
-from docloom.operators import bm25, reconcile, rules, search
+from docloom.operators import bm25, mirrors, names, reconcile, rules, search
 from docloom.streaming import windows
 
 
@@ -48,3 +48,44 @@ def test_functions(spark):
 def test_sessions(spark):
     rows = spark.sql("SELECT * FROM VALUES (1, timestamp'2024-01-01 00:00:00'), (1, timestamp'2024-01-01 00:10:00'), (1, timestamp'2024-01-01 01:00:00') AS t(user_id, ts)")
     assert sorted(r.n_events for r in windows.sessions(rows).collect()) == [1, 2]
+
+
+def test_names(spark):
+    made = [one(spark, fn.safe_name(F.col("x")), x=t) for t in ("a/b: c?", "..a..b..", "...", "", "~~", "a\u00a0 b", "x" * 300)]
+    assert made == ["a-b- c", "a-b", "untitled", "untitled", "untitled", "a b", "x" * 200]
+    nodes = spark.createDataFrame([(1, None, "A"), (2, None, "A"), (3, 1, "A"), (4, 1, "")], "node_id long, parent_id long, title string")
+    assert {r.node_id: r.name for r in names.sibling_names(nodes).collect()} == {1: "A", 2: "A(2)", 3: "A", 4: "4"}
+    pages = spark.createDataFrame([(1, "d", "A"), (2, "d", "A"), (3, "e", "A")], "page_id long, folder string, name string")
+    assert {r.page_id: r.path for r in names.collided_paths(pages).collect()} == {1: "d/A (1).md", 2: "d/A (2).md", 3: "e/A.md"}
+
+
+def test_scalars(spark):
+    assert one(spark, fn.nfc(F.col("x")), x="e\u0301") == "\u00e9"
+    assert one(spark, fn.page_ref(F.col("x"), "h.test"), x=" 12 ").page_id == "12"
+    assert one(spark, fn.page_ref(F.col("x"), "h.test"), x="https://other.test/wiki/spaces/A/pages/1/x") is None
+    assert one(spark, fn.date_in(F.col("x")), x="on 2024/02/31") is None
+    assert one(spark, fn.attributes(F.col("x")), x='note {a="1" b="x\\"y" a="2"} c="3"') == {"a": "2", "b": 'x"y'}
+    assert one(spark, fn.attributes(F.col("x")), x="note") == {}
+    assert one(spark, fn.without_empty_headings(F.col("x")), x="# \nA\n## B\n####### C") == "A\n## B"
+    assert one(spark, fn.short_hash(F.col("x")), x="abc") == "a9993e364706816a"
+
+
+def test_mirrors(spark):
+    roots = ["/m/a", "/m/ab/", "/m"]
+    assert [one(spark, mirrors.first_root(F.col("x"), roots), x=p) for p in ("/m/a/x", "/m/ab/x", "/m/abc", "/n")] == ["/m/a", "/m/ab/", "/m", None]
+    act = lambda p, md=False, ig=False: one(spark, mirrors.file_action(F.col("x"), F.lit(md), F.lit(ig)), x=p)
+    assert [act("a.PDF"), act("a.pdf", True), act("a.md", ig=True), act(".pdf"), act("a")] == ["convert_pdf", "copy_markdown", "skip_ignored", "skip_with_warning", "skip_with_warning"]
+    files = spark.createDataFrame([("a/b/c.md",), ("a/x.md",), ("z.md",), (None,)], "path string")
+    tops = spark.createDataFrame([("a",), ("a/b",), (None,)], "path string")
+    assert {r.path: r.ancestor for r in mirrors.nearest_ancestor(files, tops).collect()} == {"a/b/c.md": "a/b", "a/x.md": "a", "z.md": None, None: None}
+    refused = lambda a, b: one(spark, mirrors.body_refused(F.col("a"), F.col("b")), a=a, b=b)
+    assert [refused(" ", "x"), refused("ab", "x" * 21), refused("ab", "x" * 20)] == ["empty", "shrunk", None]
+
+
+def test_deduplicated_stream(spark, tmp_path):
+    rows = spark.sql("SELECT * FROM VALUES (1, timestamp'2024-01-01 00:00:00'), (1, timestamp'2024-01-01 00:00:00'), (2, timestamp'2024-01-01 00:00:01') AS t(event_id, ts)")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = windows.deduplicated(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), ["event_id"], "ts", "1 hour")
+    run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "at")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
