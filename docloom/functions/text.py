@@ -53,7 +53,7 @@ def safe_name(title: Column) -> Column:
     """
 
     def named(x: Column) -> Column:
-        return F.when(x == "", "untitled").otherwise(x)
+        return F.regexp_replace(x, r"^\z", "untitled")  # a CASE would hold x twice at each level
 
     def dashed(x: Column) -> Column:
         return named(F.regexp_replace(F.regexp_replace(x, "-+", "-"), r"^-|-\z", ""))
