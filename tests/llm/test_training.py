@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -242,6 +243,42 @@ def test_language_id(spark):
     assert {r.lang_pred for r in empty.collect()} == {"und"}
 
 
+def test_toxicity_ngrams_stay_within_words():
+    for order in (toxicity.SHARED, toxicity.ORDER):
+        lines = ["Ab  cde\nlonger-than-twelve", "", None, "é1", "x"]
+        want = []
+        for line in lines:
+            code = [int(toxicity.SYMBOL[b]) for b in (line or "").encode()] + [toxicity.BLANK]
+            for k in range(len(code)):
+                own = k
+                while own > 0 and code[own - 1] != toxicity.BLANK:
+                    own -= 1
+                gram = ([toxicity.BLANK] * order + code[own : k + 1])[-order:]
+                want.append(sum(c << toxicity.BITS * i for i, c in enumerate(reversed(gram))))
+        key, row, first = toxicity._keys(pa.array(lines), order)
+        assert key.tolist() == want and first[-1] == len(want) == len(row)
+
+
+def test_toxicity_ratios_against_brute_force(spark):
+    rows = [("ab abc", 1), ("ab ac", 1), ("ab b ab", 0), ("ac c", 0)]
+    shared = np.full(1 << 20, 0.125)
+    model = toxicity.likelihood_ratios(toxicity.class_counts(spark.createDataFrame(rows, "text string, toxic int")), shared, least=1)
+    counts = [{}, {}]
+    for text, y in rows:
+        for k in toxicity._keys(pa.array([text]), toxicity.ORDER)[0].tolist():
+            counts[y][k] = counts[y].get(k, 0) + 1
+    logs = {}
+    for k in {*counts[0], *counts[1]}:
+        for y, own in enumerate(counts):
+            d = toxicity.discount(sum(n == 1 for n in own.values()), sum(n == 2 for n in own.values()))
+            same = [n for g, n in own.items() if g >> toxicity.BITS == k >> toxicity.BITS]
+            p = (max(own.get(k, 0) - d, 0) + d * len(same) * 0.125) / sum(same) if same else 0.125
+            logs[k] = logs.get(k, 0) + (1 if y else -1) * np.log(p)
+    assert model.key.tolist() == sorted(logs)
+    assert np.allclose(model.ratio, [logs[k] for k in sorted(logs)], atol=1e-5)
+    assert np.allclose(model.ratios(model.key[::-1]), model.ratio[::-1]) and model.ratios(np.array([7])).tolist() == [0]
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where(common.fold(F.col("doc_id")) == 2)
