@@ -24,9 +24,28 @@ def first_heading(text: Column) -> Column:
     return F.when(found != "", F.trim(found))
 
 
+def derived_title(text: Column, path: Column) -> Column:
+    """The first heading, else the file's stem."""
+    return F.coalesce(first_heading(text), F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(.)\.[^.]*$", "$1"))
+
+
+def with_first_heading(text: Column, title: Column) -> Column:
+    """The text with another title in its first line that begins with ``# ``; unchanged without one."""
+    line = r"(?m)^# [^\n]*"
+    at = F.regexp_instr(text, F.lit(line))
+    after = at + F.length(F.regexp_extract(text, line, 0))
+    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.lit("# "), title, F.substring(text, after, F.length(text)))).otherwise(text)
+
+
+def keep_outer_blanks(original: Column, new: Column) -> Column:
+    """A new body between the blanks at the start and the end of the original one (all of these first if it is blank)."""
+    tail = F.when(original.rlike(r"\S"), F.regexp_extract(original, r"\s*\z", 0)).otherwise("")
+    return F.concat(F.regexp_extract(original, r"^\s*", 0), F.regexp_replace(new, r"^\s+|\s+\z", ""), tail)
+
+
 def split_frontmatter(text: Column) -> Column:
-    """Struct of yaml and body if the text opens with a frontmatter block, else null."""
-    pattern = r"(?s)\A---\r?\n(.*?)\n---\n(.*)\z"
+    """Struct of yaml and body if the text opens with a frontmatter block, else null; a block may close at the end of the text."""
+    pattern = r"(?s)\A---\r?\n(.*?)\n---(?:\n|\z)(.*)\z"
     return F.when(text.rlike(pattern), F.struct(F.regexp_extract(text, pattern, 1).alias("yaml"), F.regexp_extract(text, pattern, 2).alias("body")))
 
 
@@ -74,6 +93,23 @@ def page_url(base: Column, space: Column, page_id: Column, title: Column) -> Col
     return F.concat(base, F.lit("/wiki/spaces/"), space, F.lit("/pages/"), page_id.cast("string"), F.lit("/"), slug(title))
 
 
+def url_with_title(url: Column, title: Column) -> Column:
+    """An address with a title's slug for its last segment; unchanged if nothing stands before the last slash."""
+    return F.when(url.rlike("^.+/"), F.concat(F.regexp_extract(url, "^(.+/)", 1), slug(title))).otherwise(url)
+
+
+def url_segments(address: Column) -> Column:
+    """The path segments of a URL or of ``user@host:path``, without empty ones."""
+    path = F.regexp_replace(address, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/]*|[^@/]+@[^:/]+:)", "")
+    return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
+def source_of(segments: Column, marker: str) -> Column:
+    """Struct of system and id, the two segments after the first ``marker``; null if there are not two."""
+    at = F.array_position(segments, marker).cast("int")
+    return F.when((at > 0) & (F.size(segments) >= at + 2), F.struct(F.get(segments, at).alias("system"), F.get(segments, at + 1).alias("id")))
+
+
 def page_ref(text: Column, host: str) -> Column:
     """Struct of space and page_id from a bare id (no space) or a page's address at ``host``; null for anything else."""
     address = r"^https?://([^/:?#]+)(?::\d+)?/wiki/spaces/([^/?#]+)/pages/(\d+)(?:[/?#].*)?$"
@@ -97,8 +133,12 @@ def short_hash(content: Column) -> Column:
 
 def attributes(info: Column) -> Column:
     """Map of the ``key="value"`` pairs in the first braces of a text; the last of equal keys holds; backslash escapes are undone."""
+    return bare_attributes(F.regexp_extract(info, r"\{([^}]*)\}", 1))
+
+
+def bare_attributes(inside: Column) -> Column:
+    """The same pairs of a text without braces."""
     pair = r'([A-Za-z_][\w:-]*)="((?:[^"\\]|\\.)*)"'
-    inside = F.regexp_extract(info, r"\{([^}]*)\}", 1)
     keys, values = (F.regexp_extract_all(inside, F.lit(pair), F.lit(k)) for k in (1, 2))
     plain = F.transform(values, lambda v: F.replace(F.replace(v, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")))
     at = F.sequence(F.lit(1), F.greatest(F.size(keys), F.lit(1)))

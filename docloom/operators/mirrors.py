@@ -80,3 +80,27 @@ def body_refused(local: Column, remote: Column, allow_empty: bool = False, allow
     bare = F.length(F.trim(F.coalesce(local, F.lit(""))))
     empty = F.when((bare == 0) & F.lit(not allow_empty), "empty")
     return F.coalesce(empty, F.when((bare > 0) & (bare * 10 < F.length(remote)) & F.lit(not allow_shrink), "shrunk"))
+
+
+def is_stale(made: Column, source: Column) -> Column:
+    """Whether a file made from a source is missing (null time) or older than it."""
+    return F.coalesce(made < source, made.isNull())
+
+
+def remote_ahead(local_version: Column, remote_version: Column) -> Column:
+    """Whether the remote page has moved on since the local copy was taken, so that an update must be refused."""
+    return F.coalesce(remote_version > local_version, F.lit(False))
+
+
+def resolve_roots(configured: DataFrame, extra: DataFrame, excluded: DataFrame, path: str = "path") -> DataFrame:
+    """Paths of the configured and the extra roots, each once, without the excluded ones."""
+    return configured.select(path).union(extra.select(path)).distinct().join(excluded.select(path).distinct(), path, "left_anti")
+
+
+def filter_sources(roots: DataFrame, wanted: dict[str, list[str]], kind: str = "source_type", name: str = "source_id") -> DataFrame:
+    """Roots whose identifier is listed for their source type, without case; no list at all keeps every root."""
+    tests = [(F.col(kind) == k) & F.lower(name).isin([v.lower() for v in values]) for k, values in wanted.items() if values]
+    out = F.lit(not tests)
+    for test in tests:
+        out = out | test
+    return roots.where(out)

@@ -273,3 +273,45 @@ def owner_counts(spark: SparkSession, d: str) -> DataFrame:
     owners = [{"name": "third", "patterns": ["(?i)license"]}, {"name": "second", "accounts": ["de"]}, {"name": "first", "spaces": ["src1"]}]
     owner = mirrors.owner(F.col("source"), F.array(F.col("source")), F.col("lang"), F.col("text"), owners)
     return table(spark, d, "documents").groupBy(owner.alias("owner")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '^.+/') THEN regexp_extract(url, '^(.+/)', 1) || 'New+title%21' ELSE url END AS url FROM pages")
+def retitled_urls(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", fn.url_with_title(F.col("url"), F.lit("New title!")).alias("url"))
+
+
+@query(
+    """WITH s AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '/'), lambda x: x <> '') AS parts FROM pages)
+SELECT page_id, array_to_string(parts, '|') AS parts, CASE WHEN parts[1] = 'en' THEN parts[2] END AS after_en FROM s"""
+)
+def path_segments(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "pages").select("page_id", fn.url_segments(F.col("url")).alias("s"))
+    return rows.select("page_id", F.array_join("s", "|").alias("parts"), F.when(F.get("s", F.lit(0)) == "en", F.get("s", F.lit(1))).alias("after_en"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS title, CASE WHEN p_partkey % 2 = 0 THEN 'a' || chr(10) || '# ' || p_type || chr(10) || '# b' ELSE p_type END AS text FROM part")
+def derived_titles(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("a\n# "), "p_name", F.lit("\n# b"))).otherwise(F.col("p_type"))
+    path = F.concat(F.lit("a/"), "p_brand", F.lit(".md"))
+    return part.select("p_partkey", fn.derived_title(text, path).alias("title"), fn.with_first_heading(text, F.col("p_type")).alias("text"))
+
+
+@query("SELECT p_partkey, ' ' || chr(10) || p_type || chr(10) AS body FROM part")
+def outer_blanks(spark: SparkSession, d: str) -> DataFrame:
+    original = F.concat(F.lit(" \n"), "p_name", F.lit("\n"))
+    return table(spark, d, "part").select("p_partkey", fn.keep_outer_blanks(original, F.concat(F.lit("\t"), "p_type")).alias("body"))
+
+
+@query("SELECT l_returnflag, sum((l_shipdate < DATE '1995-06-17' OR l_quantity > 40)::INT)::BIGINT AS n_stale, sum((l_partkey > l_suppkey)::INT)::BIGINT AS n_ahead FROM lineitem GROUP BY 1")
+def stale_exports(spark: SparkSession, d: str) -> DataFrame:
+    made = F.when(F.col("l_quantity") <= 40, F.col("l_shipdate"))
+    stale, ahead = mirrors.is_stale(made, F.lit("1995-06-17").cast("date")), mirrors.remote_ahead(F.col("l_suppkey"), F.col("l_partkey"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum(stale.cast("long")).alias("n_stale"), F.sum(ahead.cast("long")).alias("n_ahead"))
+
+
+@query("SELECT DISTINCT o_custkey AS path FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) UNION SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")
+def resolved_roots(spark: SparkSession, d: str) -> DataFrame:
+    named = lambda name, key: table(spark, d, name).select(F.col(key).alias("path"))
+    excluded = table(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("path"))
+    return mirrors.resolve_roots(named("orders", "o_custkey"), named("supplier", "s_suppkey"), excluded)

@@ -89,3 +89,23 @@ def test_deduplicated_stream(spark, tmp_path):
     run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "at")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_titles_and_addresses(spark):
+    assert one(spark, fn.split_frontmatter(F.col("x")), x="---\na: 1\n---").asDict() == {"yaml": "a: 1", "body": ""}
+    assert one(spark, fn.split_frontmatter(F.col("x")), x="---\n---\nbody") is None
+    assert one(spark, fn.derived_title(F.col("x"), F.lit("a/b.c.md")), x="text") == "b.c"
+    assert one(spark, fn.with_first_heading(F.col("x"), F.lit("$1")), x="a\n# b\n# c") == "a\n# $1\n# c"
+    assert one(spark, fn.keep_outer_blanks(F.col("x"), F.lit(" n ")), x=" \n") == " \nn"
+    assert [one(spark, fn.url_with_title(F.col("x"), F.lit("t t")), x=x) for x in ("/a", "a", "h/b/c")] == ["/a", "a", "h/b/t+t"]
+    parts = [one(spark, fn.url_segments(F.col("x")), x=x) for x in ("git@h.test:m/wiki/7", "https://h.test//m/wiki", "ssh://g@h.test/m")]
+    assert parts == [["m", "wiki", "7"], ["m", "wiki"], ["m"]]
+    found = [one(spark, fn.source_of(fn.url_segments(F.col("x")), "m"), x=x) for x in ("git@h.test:m/wiki/7", "https://h.test/m/wiki")]
+    assert found[0].asDict() == {"system": "wiki", "id": "7"} and found[1] is None
+    assert one(spark, fn.bare_attributes(F.col("x")), x='a="1" b="}"') == {"a": "1", "b": "}"}
+
+
+def test_source_filters(spark):
+    roots = spark.createDataFrame([("wiki", "A"), ("wiki", "b"), ("drive", "A"), (None, None)], "source_type string, source_id string")
+    assert sorted(map(tuple, mirrors.filter_sources(roots, {"wiki": ["a"], "drive": []}).collect())) == [("wiki", "A")]
+    assert mirrors.filter_sources(roots, {}).count() == 4
