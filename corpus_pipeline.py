@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import common, decontam, secrets, sentpiece, simhash, toxicity
+from docloom.llm import common, decontam, jaccard, secrets, sentpiece, toxicity
 from docloom.llm.queries import PIECE_MODEL, table
 
 #: The score from which a document counts as toxic.
@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """Keep one document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    return jaccard.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, common, decontam, embed_dedup, graph, langid, secrets, sentpiece, simhash, substring, toxicity, urls
+from docloom.llm import chat, common, decontam, embed_dedup, graph, jaccard, langid, secrets, sentpiece, simhash, substring, toxicity, urls
 from docloom.llm.queries import PIECE_MODEL, QUERIES
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -83,6 +83,49 @@ def test_simhash(spark, texts):
     assert sorted(r.doc_id for r in kept) == sorted(set(least.values()) - {None})
 
 
+def planted_copies():
+    """Bases with copies of more and fewer changed words, one of them with many; short and empty texts."""
+    rng, out = random.Random(8), []
+    for base in range(14):
+        w = prose(500 + base, rng.choice([6, 40, 150]) if base else 150, 5000).split()
+        out.append(" ".join(w))
+        for _ in range(60 if base == 0 else 4):
+            own = list(w)
+            for _ in range(rng.choice([1, 1, 2, 3, 4])):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(own) + rng.choice(["", " tail of text"]))
+    out += ["a b c", "A  b C", "a b", None, "", " ", out[3].upper(), out[3]]
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+def kept_by_jaccard(rows, least=0.8):
+    """The ids that stay when all pairs are compared."""
+    sets = []
+    for _, t in rows:
+        w = windows((t or "").lower(), 5)[0]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) > 0:
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    return sorted(min(i for (i, _), q in zip(rows, root) if q == r) for r in set(root))
+
+
+def test_near_copies_are_found(spark):
+    import corpus_pipeline
+
+    rows = planted_copies()
+    want = kept_by_jaccard(rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), FOLDER).collect()) == want
+    assert len(want) < len(simhash.one_of_each(frame(spark, rows)).collect())
+    odd = [(1, None), (1, None), (2, "one two"), (2, "one two")]
+    assert sorted(r.doc_id for r in jaccard.one_of_each(frame(spark, odd)).collect()) == [1, 2]
+    assert jaccard.one_of_each(frame(spark, [])).count() == 0
+
+
 def test_hamming_links_are_whole(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(40)]
