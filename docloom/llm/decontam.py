@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_rows, slices, without
-from .words import ALNUM, cut_out, lists, runs, text_bytes, words
+from .words import ALNUM, Words, cut_out, lists, runs, text_bytes, words
 
 
 class WaveletMatrix:
@@ -202,8 +202,7 @@ def _stage(docs: DataFrame, text: str, phrases: Phrases, remove: bool, shard: in
             spans = pa.StructArray.from_arrays([pa.array((x - base).astype(np.int32)) for x in (first, last + 1)], ["start", "end"])
             out = [pa.array(np.diff(w.first)), lists(ids.take(pa.array(item)), row, len(column)), lists(spans, w.row[first], len(column))]
             if remove:
-                left = cut_out(text_bytes(column)[0], w.row_start, w.start[first], w.end[last])
-                out.append(pc.if_else(column.is_null(), pa.scalar(None, pa.string()), left) if column.null_count else left)
+                out.append(_left(column, w, w.start[first], w.end[last]))
             return out
 
         def work(batch: pa.RecordBatch) -> dict:
@@ -225,29 +224,56 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     texts lose the bytes from the first to the last word of each merged span.
 
     The windows travel with the tasks, at most ``block`` bytes of item text at a time; a larger benchmark is searched
-    in as many blocks, each one more pass over the rows, without a shuffle. With ``remove`` on several blocks, a
-    block works on what those before it left. Null texts have no words and stay null, null items have no windows, a
-    null item id reads as the empty string, an id's items count once. Columns of the results' names are replaced.
+    in as many blocks, each one more pass over the rows, without a shuffle. Every block searches the whole texts; with
+    ``remove`` on several blocks, one more pass cuts the merged spans. Null texts have no words and stay null, null
+    items have no windows, a null item id reads as the empty string, an id's items count once. Columns of the
+    results' names are replaced.
     """
     columns = without(docs, "n_words", "n_hit", "items", "spans", "_items", "_spans", "_cut", "_n").columns
     docs = docs.select(columns)
     queries = benchmark.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
     size = queries.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block))
-    out = docs.withColumns({"_items": F.array().cast("array<string>"), "_spans": F.array().cast("array<struct<start:int,end:int>>"), "_n": F.lit(None).cast("long"), "_hit": F.lit(0).cast("long")})
+    once = remove and blocks == 1
+    out = docs.withColumns({"_items": F.array().cast("array<string>"), "_spans": F.array().cast("array<struct<start:int,end:int>>"), "_n": F.lit(None).cast("long")})
     for k in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).collect()
-        out = _stage(out, text, Phrases.of([(r.i, r.t) for r in rows], width), remove, shard)
-        hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+        out = _stage(out, text, Phrases.of([(r.i, r.t) for r in rows], width), once, shard)
         own = {"_items": F.array_union("_items", "items"), "_n": F.coalesce("_n", "n_words")}
-        if remove:
-            own |= {text: F.col("_cut"), "_hit": F.col("_hit") + hit}
         own["_spans"] = F.col("spans") if blocks == 1 else F.concat("_spans", "spans")
         out = out.withColumns(own)
-    if blocks > 1 and not remove:
+    if blocks > 1:
         out = out.withColumn("_spans", _merged("_spans"))
+        out = _cut_spans(out, text) if remove else out
+    if remove:
+        out = out.withColumn(text, F.col("_cut"))
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return out.select(*columns, F.col("_n").alias("n_words"), (F.col("_hit") if remove else hit).alias("n_hit"), F.col("_items").alias("items"), F.col("_spans").alias("spans"))
+    return out.select(*columns, F.col("_n").alias("n_words"), hit.alias("n_hit"), F.col("_items").alias("items"), F.col("_spans").alias("spans"))
+
+
+def _left(column: pa.Array, w: Words, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The texts without the bytes from each start to each end; a null text stays null."""
+    left = cut_out(text_bytes(column)[0], w.row_start, start, end)
+    return pc.if_else(column.is_null(), pa.scalar(None, pa.string()), left) if column.null_count else left
+
+
+def _cut_spans(docs: DataFrame, text: str) -> DataFrame:
+    """Append _cut: each text without its word spans (column _spans)."""
+
+    def make():
+        def part(column: pa.Array, spans: pa.Array) -> pa.Array:
+            w = words(column, ALNUM, lower=True)
+            base = np.repeat(w.first[:-1], pc.list_value_length(spans).to_numpy(zero_copy_only=False))
+            first, after = (pc.struct_field(spans.flatten(), n).to_numpy(zero_copy_only=False) for n in ("start", "end"))
+            return _left(column, w, w.start[base + first], w.end[base + after - 1])
+
+        def work(batch: pa.RecordBatch) -> dict:
+            column, spans = (batch.column(batch.schema.get_field_index(c)) for c in (text, "_spans"))
+            return {"_cut": pa.concat_arrays([part(column.slice(a, b - a), spans.slice(a, b - a)) for a, b in slices(batch, text)])}
+
+        return work
+
+    return map_rows(docs, [T.StructField("_cut", T.StringType())], make)
 
 
 def _merged(spans: str):

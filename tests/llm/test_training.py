@@ -170,6 +170,23 @@ def test_decontamination(spark, texts):
     assert decontam.decontaminate(frame(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_removal_in_blocks_equals_removal_at_once(spark, texts):
+    w = [prose(k).split() for k in range(12)]
+    items = [(k * 10 + s, " ".join(w[k][s : s + 14])) for k in range(6) for s in (10, 18, 26, 60)]
+    items += [(200, " ".join(w[1][0:10] + w[1][40:50])), (201, " ".join(w[2][5:10] + w[2][40:45])), (202, "one"), (203, "漢字 😀 ünï")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, texts)
+
+    def found(**more):
+        rows = decontam.decontaminate(docs, bench, **more).collect()
+        return sorted((str(r.doc_id), str(r.text), r.n_words, r.n_hit, sorted(r["items"]), [(s.start, s.end) for s in r.spans]) for r in rows)
+
+    at_once = found(remove=True)
+    assert sum(r[3] for r in at_once) > 100
+    assert found(remove=True, block=400) == at_once
+    assert [r[2:] for r in found(block=400)] == [r[2:] for r in at_once]
+
+
 def test_fm_index():
     rng = np.random.default_rng(1)
     text = rng.integers(0, 4, 500)
