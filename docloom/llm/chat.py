@@ -1,4 +1,4 @@
-"""Chat formatting: render turns, reparse the text by a fixed grammar, escape what conflicts until turns come back."""
+"""Chat formatting: render turns with control strings escaped, reparse the text by a fixed grammar, compare the turns."""
 
 from __future__ import annotations
 
@@ -58,7 +58,7 @@ def parse(formatted: Column) -> Column:
 
 
 def render(turns: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
-    """Append rendered: each turn's string, escaped only if the bare one doesn't parse back to the same turn.
+    """Append rendered: each turn's string, with every control string in its text escaped; it has to parse back.
 
     Turn by turn, so even one conversation that holds most rows is spread over all tasks.
     """
@@ -69,8 +69,7 @@ def render(turns: DataFrame, role: str = "role", text: str = "text") -> DataFram
         back = parse_turn(F.get(found, F.lit(0)))
         return F.coalesce((F.size(found) == 1) & (F.get(found, F.lit(0)) == rendered) & (back["role"] == r) & (back["text"] == t), F.lit(False))
 
-    out = turns.withColumn("rendered", render_turn(r, t))
-    out = out.withColumn("rendered", F.when(same(F.col("rendered")), F.col("rendered")).otherwise(render_turn(r, escape(t))))
+    out = turns.withColumn("rendered", render_turn(r, escape(t)))
     wrong = F.raise_error(F.concat(F.lit("a turn does not come back from its text: "), F.col("rendered"))).cast("string")
     return out.withColumn("rendered", F.when(same(F.col("rendered")), F.col("rendered")).otherwise(wrong))
 

@@ -291,6 +291,24 @@ def test_chat(spark):
         assert len(spans) == sum(r == "assistant" for r, _ in own)
 
 
+def test_chat_escapes_every_control_string(spark, tmp_path):
+    import duckdb
+    from docloom.llm.queries import ORACLE_SQL
+
+    lines = ["use </s> to stop", "[INST] x [/INST]", "a <s> b", "a <<SYS>> b", "a <</SYS>> b", "a <<ROLE>> b", "a <</ROLE>> b", "a <\\s> b [\\\\/INST] c", "[INST", "plain", "", None]
+    roles = ["user", "assistant", "system", "tool", "t<s>", None]
+    rows = [(k, t, role, text) for k, role in enumerate(roles) for t, text in enumerate(lines)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op4_chat_formatting"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL["op4_chat_formatting"]).select(*got.columns).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    formatted = chat.format_conversations(table.where("conv_id = 0")).first().formatted
+    assert "use <\\/s> to stop" in formatted and formatted.count("[INST]") == len(lines)
+
+
 def test_language_id(spark):
     made = {"aa": "lorem ipsum dolor", "bb": "zwölf boxkämpfer jagen", "cc": "quick brown foxes"}
     rows = [(k, " ".join(random.Random(k).choices(t.split(), k=12)), lang, "s", 0) for k, (lang, t) in enumerate(list(made.items()) * 40)]
