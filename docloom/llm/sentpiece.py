@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from heapq import heapify, heappop, heappush
@@ -16,12 +17,16 @@ from .common import map_rows, resident, without
 SPACE = "▁"
 #: A chunk: no piece has a space mark after another character, so no merge crosses the start of a run of marks.
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Chunks of up to so many characters are merged side by side and kept between batches.
+SHORT = 64
+#: The rank of a pair that is no piece.
+NONE = np.iinfo(np.int32).max
 
 
 class Codec:
     """Encoder and decoder for one model; chunks' ids are kept between batches (``keep`` chunks, in two generations).
 
-    ``checked`` compares every newly encoded chunk, its ids and what they decode to, with the sentencepiece library.
+    ``checked`` compares the ids of every newly encoded chunk, and every decoded text, with the sentencepiece library.
     """
 
     def __init__(self, model: bytes, checked: bool = True, keep: int = 300_000):
@@ -55,6 +60,23 @@ class Codec:
         self.pairs = {piece[i : i + 2] for piece in scores for i in range(len(piece) - 1)}
         self.parts: dict[str, list[int]] = {}
         self.lead = [x.startswith(b" ") and not self.library.is_unknown(i) for i, x in enumerate(self.surface)]
+        # Symbols: pieces by id, then every character by its code. Pairs: all splits of a piece into two symbols.
+        size = len(self.surface)
+        number = {c: size + ord(c) for piece in scores for c in piece} | self.ids
+        pairs = {}
+        for piece in scores:
+            for i in range(1, len(piece)):
+                if piece[:i] in number and piece[i:] in number:
+                    pairs[number[piece[:i]], number[piece[i:]]] = piece
+        self.symbols = size + 0x110000
+        ordered = sorted(pairs.items())
+        self.keys = np.array([a * self.symbols + b for (a, b), _ in ordered] + [self.symbols**2], dtype=np.int64)
+        self.ranks = np.array([self.rank[p] for _, p in ordered] + [NONE], dtype=np.int32)
+        self.merged = np.array([self.ids[p] for _, p in ordered] + [-1], dtype=np.int64)
+        self.of_char = np.arange(size, size + 0x110000, dtype=np.int64)
+        for c, i in number.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = i
         if -1 in self.bytes:
             raise ValueError("the vocabulary has no byte fallback")
 
@@ -108,25 +130,82 @@ class Codec:
                 for piece in self.pieces(part):
                     i = self.ids.get(piece)
                     ids.extend([self.bytes[b] for b in piece.encode()] if i is None else [i])
-                if len(part) <= 64:
+                if len(part) <= SHORT:
                     known[part] = ids
             out += ids
             start = end
         return out
 
+    def _lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where each pair of symbols stands in the table of pairs; the last place is that of no pair."""
+        key = left * self.symbols + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, at, len(self.keys) - 1)
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids, as 32-bit integers, of chunks of up to ``SHORT`` characters: all agendas at once, in matrices.
+
+        Rows of one width hold a chunk's symbols and its agenda: the rank of each adjacent pair. Each step takes the
+        head of every agenda (the best score, of equal ones the leftmost), merges that pair and ranks the two pairs
+        that it makes; all rows that go on are one symbol narrower. A row without a pair is done.
+        """
+        size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        out: list[bytes] = [b""] * len(chunks)
+        row, symbol, agenda = np.zeros(0, dtype=np.int64), None, None
+        for width in range(int(size.max(initial=0)), 0, -1):
+            new = np.flatnonzero(size == width)
+            if len(new):
+                code = np.frombuffer("".join([chunks[k] for k in new]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                fresh = self.of_char[code].reshape(-1, width)
+                ranks = self.ranks[self._lookup(fresh[:, :-1], fresh[:, 1:])]
+                row, symbol, agenda = (np.concatenate([row, new]), np.concatenate([symbol, fresh]), np.concatenate([agenda, ranks])) if len(row) else (new, fresh, ranks)
+            if not len(row):
+                continue
+            best = agenda.argmin(1) if width > 1 else np.zeros(len(row), dtype=np.int64)
+            on = agenda[np.arange(len(row)), best] < NONE if width > 1 else np.zeros(len(row), dtype=bool)
+            done = np.flatnonzero(~on)
+            if len(done):
+                plain = symbol[done]
+                raw, odd = plain.astype(np.int32).tobytes(), (plain >= len(self.surface)).any(1)
+                for k, (r, o) in enumerate(zip(row[done].tolist(), odd.tolist())):
+                    out[r] = raw[4 * width * k : 4 * width * (k + 1)] if not o else self._with_bytes(plain[k])
+            row, symbol, agenda, best = row[on], symbol[on], agenda[on], best[on]
+            if not len(row):
+                continue
+            n = np.arange(len(row))
+            symbol[n, best] = self.merged[self._lookup(symbol[n, best], symbol[n, best + 1])]
+            keep = np.ones(symbol.shape, dtype=bool)
+            keep[n, best + 1] = False
+            symbol = symbol[keep].reshape(len(row), width - 1)
+            keep = np.ones(agenda.shape, dtype=bool)
+            keep[n, best] = False
+            agenda = agenda[keep].reshape(len(row), width - 2)
+            for off in (0, -1):
+                at = np.flatnonzero((best + off >= 0) & (best + off < width - 2))
+                p = best[at] + off
+                agenda[at, p] = self.ranks[self._lookup(symbol[at, p], symbol[at, p + 1])]
+        return out
+
+    def _with_bytes(self, symbols: np.ndarray) -> bytes:
+        """Ids of symbols of which some are characters without a piece, which fall back to their bytes."""
+        ids: list[int] = []
+        for s in symbols.tolist():
+            ids.extend([s] if s < len(self.surface) else [self.bytes[b] for b in chr(s - len(self.surface)).encode("utf-8", "surrogatepass")])
+        return array("i", ids).tobytes()
+
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids, as 32-bit integers, of chunks that aren't known yet."""
-        new = {c: self.encode_chunk(c) for c in chunks}
+        """Ids, as 32-bit integers, of chunks that aren't known yet, held against the library's."""
+        short = [c for c in chunks if len(c) <= SHORT]
+        new = dict(zip(short, self.encode_chunks(short)))
+        new |= {c: array("i", self.encode_chunk(c)).tobytes() for c in chunks if len(c) > SHORT}
         if self.checked:
             # The library itself puts a mark before a text; a lone mark can't be had from it that way.
-            texts = {c: c[1:].replace(SPACE, " ") for c in new if c != SPACE}
-            for (chunk, text), ids in zip(texts.items(), self.library.encode(list(texts.values()), num_threads=1)):
-                if ids != new[chunk]:
-                    raise ValueError(f"ids differ from the library's for {text!r}: {new[chunk]} and {ids}")
-            for text, back in zip(texts.values(), self.library.decode([new[c] for c in texts], num_threads=1)):
-                if back != text:
-                    raise ValueError(f"the library decodes the ids of {text!r} to {back!r}")
-        return {c: array("i", ids).tobytes() for c, ids in new.items()}
+            asked = [c for c in new if c != SPACE]
+            theirs = self.library.encode([c[1:].replace(SPACE, " ") for c in asked], num_threads=1)
+            for chunk, ids in zip(asked, theirs):
+                if array("i", ids).tobytes() != new[chunk]:
+                    raise ValueError(f"ids differ from the library's for {chunk!r}: {array('i', new[chunk]).tolist()} and {ids}")
+        return new
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none, like an empty one."""
@@ -138,8 +217,8 @@ class Codec:
         young |= {c: old[c] for c in missing if c in old}
         missing.difference_update(young)
         fresh = self.learn(missing)
-        young |= {c: ids for c, ids in fresh.items() if len(c) <= 64}
-        long = {c: ids for c, ids in fresh.items() if len(c) > 64}
+        young |= {c: ids for c, ids in fresh.items() if len(c) <= SHORT}
+        long = {c: ids for c, ids in fresh.items() if len(c) > SHORT}
         get = young.__getitem__ if not long else lambda c: young[c] if c in young else long[c]
         out = [b"".join(map(get, part)) for part in parts]
         if len(young) > self.keep // 2:
@@ -153,16 +232,13 @@ class Codec:
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " and self.lead[next(i for i in ids if self.surface[i])] else text
 
-
-    def decode_batch(self, found: list[bytes], texts: list[str | None]) -> list[str]:
-        """Text of each text's ids. Where it isn't the text itself it is held against the library's."""
-        out = []
-        for raw, text in zip(found, texts):
-            ids = array("i", raw).tolist()
-            back = self.decode(ids)
-            if self.checked and back != (text or "") and back != self.library.decode(ids):
-                raise ValueError(f"decoded text differs from the library's: {back!r}")
-            out.append(back)
+    def decode_batch(self, found: list[bytes]) -> list[str]:
+        """Text of each text's ids, held against the library's."""
+        ids = [array("i", raw).tolist() for raw in found]
+        out = list(map(self.decode, ids))
+        if self.checked and out != (theirs := self.library.decode(ids, num_threads=1)):
+            wrong = next(k for k in range(len(out)) if out[k] != theirs[k])
+            raise ValueError(f"decoded text differs from the library's: {out[wrong]!r} and {theirs[wrong]!r}")
         return out
 
 
@@ -197,12 +273,16 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
             found = coder.encode_batch(texts)
             out = [_ids_array(found)]
             if decoded:
-                out.append(pa.array(coder.decode_batch(found, texts), pa.string()))
+                out.append(pa.array(coder.decode_batch(found), pa.string()))
             return out
 
         def work(batch: pa.RecordBatch) -> dict:
             column = batch.column(batch.schema.get_field_index(text))
-            parts = [part(column.slice(a, rows)) for a in range(0, batch.num_rows, rows)]
+            gc.disable()  # millions of small lists of numbers, without a cycle among them
+            try:
+                parts = [part(column.slice(a, rows)) for a in range(0, batch.num_rows, rows)]
+            finally:
+                gc.enable()
             return {f.name: pa.concat_arrays([p[k] for p in parts]) for k, f in enumerate(fields)}
 
         return work
