@@ -19,9 +19,10 @@ def path_title(path: Column) -> Column:
 
 
 def first_heading(text: Column) -> Column:
-    """Text of the first line that begins with ``# ``; null without one."""
-    found = F.regexp_extract(text, r"(?m)^# (.*)$", 1)
-    return F.when(found != "", F.trim(found))
+    """Text of the first line after the frontmatter that begins with ``# ``; null without one. An unclosed block has no body."""
+    opened = text.rlike(r"\A---[\r\n]*(?:\n|\z)")
+    body = F.when(opened, F.regexp_extract(text, r"(?s)\A---[\r]*\n(?:.*?\n)?---\r*\n(.*)\z", 1)).otherwise(text)
+    return F.when(body.rlike("(?m)^# "), F.regexp_replace(F.regexp_extract(body, r"(?m)^# ([^\n]*)", 1), r"^\s+|\s+$", ""))
 
 
 def derived_title(text: Column, path: Column) -> Column:
@@ -122,7 +123,7 @@ def page_ref(text: Column, host: str) -> Column:
 
 def date_in(text: Column) -> Column:
     """The first YYYY-MM-DD or YYYY/MM/DD in a text as a date; null without one or if there is no such day."""
-    day = r"(\d{4})[-/](\d{2})[-/](\d{2})"
+    day = r"\b(\d{4})[-/](\d{2})[-/](\d{2})\b"
     return F.regexp_replace(F.regexp_extract(text, day, 0), "/", "-").try_cast("date")
 
 
@@ -150,3 +151,79 @@ def without_empty_headings(text: Column) -> Column:
     """A text without lines that are only a heading's marks, and without headings deeper than six."""
     lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^(#{1,6}\s*$|#{7,})"))
     return F.array_join(lines, "\n")
+
+
+def site_name(folder: Column, suffix: str = " - Documents") -> Column:
+    """A folder's name without one such suffix."""
+    return F.when(folder.endswith(suffix), F.substring(folder, F.lit(1), F.length(folder) - len(suffix))).otherwise(folder)
+
+
+_CLONE = "struct<host:string,path:string,namespace:string,repo:string,port:int>"
+
+
+def clone_parts(url: Column) -> Column:
+    """Host, path, namespace, repo and port of ``git@host:path`` and http(s) clone addresses; null for others.
+
+    The host is in lower case, the path has no outer slashes and no ``.git``; ssh addresses aren't known.
+    """
+    bare = F.trim(url)
+    scp, web = r"^git@([^:]+):(.+)$", r"^https?://(?:[^/@]*@)?([^/:?#]+)(?::(\d+))?(/[^?#]*)?"
+    is_scp = bare.rlike(scp)
+    raw = F.when(is_scp, F.regexp_extract(bare, scp, 2)).otherwise(F.regexp_extract(bare, web, 3))
+    path = F.regexp_replace(F.regexp_replace(raw, "^/+|/+$", ""), r"\.git$", "")
+    host = F.when(is_scp, F.regexp_extract(bare, scp, 1)).otherwise(F.regexp_extract(bare, web, 1))
+    port = F.when(~is_scp, F.regexp_extract(bare, web, 2)).try_cast("int")
+    repo = F.substring_index(path, "/", -1)
+    parts = F.struct(F.lower(host).alias("host"), path.alias("path"), F.regexp_extract(path, "^(.*)/", 1).alias("namespace"), repo.alias("repo"), port.alias("port"))
+    return F.when((is_scp | bare.rlike(web)) & (path != ""), parts).cast(_CLONE)
+
+
+def blob_url(clone: Column, path: Column, branch: Column, host: str, infix: str = "/-/blob/") -> Column:
+    """Address at which a mirrored file can be read: of the clone's host, if that is ``host``; else null. A null branch is main."""
+    parts = clone_parts(clone)
+    port = F.coalesce(F.concat(F.lit(":"), parts["port"].cast("string")), F.lit(""))
+    encoded = lambda x: F.replace(F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    file = F.array_join(F.transform(F.split(path, "/"), encoded), "/")
+    url = F.concat(F.lit("https://"), parts["host"], port, F.lit("/"), parts["path"], F.lit(infix), encoded(F.coalesce(branch, F.lit("main"))), F.lit("/"), file)
+    return F.when(parts["host"] == host.strip().lower(), url)
+
+
+def svg_size(svg: Column) -> Column:
+    """Width and height of an SVG: of its attributes, else of its view box, else 100 each."""
+    tag = F.regexp_extract(svg, r"(?s)<svg\b[^>]*>", 0)
+    length = lambda k: F.regexp_replace(F.regexp_extract(tag, rf"""\s{k}\s*=\s*["']([^"']*)["']""", 1), r"\s|(?:px|pt|em|rem|mm|cm|in|%)\s*$", "").try_cast("double")
+    box = F.transform(F.regexp_extract_all(F.regexp_extract(tag, r"""\sviewBox\s*=\s*["']([^"']*)["']""", 1), F.lit(r"\S+"), F.lit(0)), lambda x: x.try_cast("double"))
+    size = lambda w, h: F.struct(w.cast("double").alias("width"), h.cast("double").alias("height"))
+    stated = F.when(length("width").isNotNull() & length("height").isNotNull(), size(length("width"), length("height")))
+    boxed = F.when((F.size(box) == 4) & F.get(box, F.lit(2)).isNotNull() & F.get(box, F.lit(3)).isNotNull(), size(F.get(box, F.lit(2)), F.get(box, F.lit(3))))
+    return F.coalesce(stated, boxed, size(F.lit(100), F.lit(100)))
+
+
+def capped_scale(width: Column, height: Column, scale: Column, most: float = 4096.0) -> Column:
+    """A scale at which neither side of an image passes ``most``; the wanted one if it does."""
+    return F.when((width * scale > most) | (height * scale > most), F.least(F.lit(most) / width, F.lit(most) / height)).otherwise(scale)
+
+
+def retry_after(header: Column, now: Column) -> Column:
+    """Seconds to wait by a Retry-After header: a number, or the time until an HTTP date (0 if past); null for others."""
+    bare = F.trim(header)
+    date = F.try_to_timestamp(F.regexp_replace(bare, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    wait = F.greatest(F.lit(0.0), (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double"))
+    return F.when(bare == "", None).otherwise(F.coalesce(bare.try_cast("double"), F.when(date.isNotNull(), wait)))
+
+
+def union_in_order(a: Column, b: Column) -> Column:
+    """The items of two arrays, each once, in order of their first place."""
+    return F.array_union(a, b)
+
+
+def fill_attributes(fresh: Column, cached: Column, skip: Column) -> Column:
+    """Key and value structs: the fresh ones, then the cached ones whose keys are neither fresh nor to be skipped."""
+    keys = F.transform(fresh, lambda s: s["k"])
+    return F.concat(fresh, F.filter(cached, lambda s: ~F.array_contains(keys, s["k"]) & ~F.array_contains(skip, s["k"])))
+
+
+def char_offset(text: Column, offset: Column) -> Column:
+    """Number of characters that begin before a byte offset of the text in UTF-8."""
+    head = F.hex(F.substring(text.cast("binary"), F.lit(1), offset))
+    return (F.length(F.regexp_replace(F.regexp_replace(head, "(..)", "$1 "), "[89AB][0-9A-F] ", "")).cast("int") / F.lit(3)).cast("int")

@@ -1,53 +1,160 @@
-"""BM25 similarity: corpus statistics and scored lookups as joins on terms."""
+"""BM25 similarity: corpus statistics, and query documents scored in blocks against all documents."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .search import top_per_group
 
-# The usual Okapi parameters.
+# The usual Okapi parameters, what is cut from a text before it is split into words, and what a word is.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+FRONTMATTER = r"(?s)\A---\n.*?\n---\n?"
+FENCES = r"(?sm)^(`{3,}|~{3,})[^\n]*\n.*?\n\1[ \t]*$"
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters, digits and underscores, without a leading frontmatter and fenced blocks."""
-    body = F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n?", "")
-    body = F.regexp_replace(body, r"(?sm)^(`{3,}|~{3,})[^\n]*\n.*?\n\1[ \t]*$", "")
-    return F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    body = F.regexp_replace(F.regexp_replace(text, FRONTMATTER, ""), FENCES, "")
+    return F.regexp_extract_all(F.lower(body), F.lit(WORD), F.lit(0))
+
+
+def _words(text: str | None) -> list[str]:
+    text = text or ""
+    if text.startswith("---\n"):
+        text = re.sub(FRONTMATTER, "", text)
+    if "```" in text or "~~~" in text:
+        text = re.sub(FENCES, "", text)
+    return re.findall(r"\w+", text.lower())
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, and dl (the number of words of the document)."""
-    words = docs.select(key, tokens(F.col(text)).alias("w"))
-    return words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """key, term, tf, dl (words of the document): a row for each term of a document, and one of a null term.
+
+    A document is counted where it is read, so nothing is shuffled. A null text has no words.
+    """
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, term, tf, dl = [], [], [], []
+            for k, x in enumerate(batch.column(1).to_pylist()):
+                words = _words(x)
+                own = Counter(words)
+                term += [None, *own]
+                tf += [0, *own.values()]
+                row += [k] * (len(own) + 1)
+                dl += [len(words)] * (len(own) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(term, pa.string()), pa.array(tf, pa.int64()), pa.array(dl, pa.int64())], [key, "term", "tf", "dl"])
 
-def statistics(docs: DataFrame, post: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """Terms (term, idf) and the corpus's one row (n, avgdl).
+    schema = T.StructType([docs.schema[key], *[T.StructField(n, t) for n, t in (("term", T.StringType()), ("tf", T.LongType()), ("dl", T.LongType()))]])
+    return docs.select(key, text).mapInArrow(count, schema)
 
-    A term in over half the documents has a negative idf; it gets a share of the mean idf instead.
+
+def statistics(docs: DataFrame, post: DataFrame, text: str = "text") -> tuple[DataFrame, float]:
+    """Terms (term, idf) and the mean length of documents.
+
+    A term in over half the documents has a negative idf; it gets a share of the mean idf instead. The number and
+    mean length of documents and the mean idf are three numbers, put into the plan as constants.
     """
-    size = F.size(tokens(F.col(text)))
-    corpus = docs.agg(F.count("*").alias("n"), F.avg(F.when(size > 0, size).otherwise(0)).alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(corpus), how="cross").select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = raw.agg(F.avg("idf").alias("mean"))
-    terms = raw.join(F.broadcast(mean), how="cross").select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    return terms, corpus
+    size = post.where("term is null").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).first()
+    df = post.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.select("term", (F.log(F.lit(size.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    mean = raw.agg(F.avg("idf")).first()[0] or 0.0
+    return raw.select("term", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")).alias("idf")), float(size.avgdl)
+
+
+def _scored(block: list, docs: DataFrame, key: str, text: str, idf: dict[str, float], avgdl: float, k: int, itself: bool) -> DataFrame:
+    """The best k documents of each task for each query of a block: row of the query, key of the document, score."""
+    number = {t: i for i, t in enumerate(idf)}
+    entries = sorted((number[t], q, n * idf[t]) for q, (_, words) in enumerate(block) for t, n in Counter(words).items() if t in number)
+    term, query, weight = (np.array(x) for x in zip(*entries)) if entries else (np.zeros(0, dtype=int),) * 3
+    first = np.searchsorted(term, np.arange(len(number) + 1))
+    ids = [q for q, _ in block]
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, list, np.ndarray]] = []
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys = part.column(0).to_pylist()
+                row, t, w = [], [], []
+                for r, x in enumerate(part.column(1).to_pylist()):
+                    words = _words(x)
+                    near = K1 * (1 - B + B * len(words) / avgdl) if avgdl else 1.0
+                    for name, n in Counter(words).items():
+                        if name in number:
+                            row.append(r)
+                            t.append(number[name])
+                            w.append(n * (K1 + 1) / (n + near))
+                row, t, w = np.array(row, dtype=int), np.array(t, dtype=int), np.array(w)
+                many = first[t + 1] - first[t]
+                each = np.repeat(first[t] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+                sums = np.bincount(query[each].astype(int) * len(keys) + np.repeat(row, many), weight[each] * np.repeat(w, many), len(ids) * len(keys)).reshape(len(ids), -1)
+                for q in range(len(ids)):
+                    own = sums[q].round(6)
+                    if itself:
+                        own = np.where([x == ids[q] for x in keys], -np.inf, own)
+                    # Of equal scores all stay until the last, so that ties go by key.
+                    least = np.partition(own, -k)[-k] if len(own) > k else -np.inf
+                    some = np.flatnonzero((own >= least) & (own > -np.inf))
+                    best.append((np.full(len(some), q), [keys[i] for i in some], own[some]))
+        if best:
+            q, s = np.concatenate([b[0] for b in best]), np.concatenate([b[2] for b in best])
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array([x for b in best for x in b[1]], kind), pa.array(s)], ["query", key, "score"])
 
-def top_k(queries: DataFrame, docs: DataFrame, k: int = 5, query_key: str = "item_id", query_text: str = "text", key: str = "doc_id", text: str = "text") -> DataFrame:
+    schema = T.StructType([T.StructField("query", T.LongType()), docs.schema[key], T.StructField("score", T.DoubleType())])
+    return docs.select(key, text).mapInArrow(score, schema)
+
+
+def top_k(queries: DataFrame, docs: DataFrame, k: int = 5, query_key: str = "item_id", query_text: str = "text", key: str = "doc_id", text: str = "text", pool: DataFrame | None = None, itself: bool = False, block: int = 256) -> DataFrame:
     """For each query text the k best documents: query_key, key, score (6 decimals), rank; ties by key.
 
-    Each query word counts as often as it stands in the query. Only postings of query words are scored: the query
-    side is small, so the join drops all others before the shuffle by document.
+    Each query word counts as often as it stands in the query; documents without any of them score 0 and count too.
+    ``pool`` keeps only documents whose keys it has (statistics are of all); ``itself`` leaves out the document of
+    the query's own key. Queries go out in blocks, each one pass over the documents in which tasks keep their best
+    k: the work is queries times documents, the rows that move are queries times k for each batch of 256.
+    """
+    terms, avgdl = statistics(docs, postings(docs, key, text))
+    kind = queries.schema[query_key].dataType
+    ordered = queries.select(query_key, query_text).orderBy(query_key).toLocalIterator()
+    pool = docs if pool is None else docs.join(pool.select(key).distinct(), key, "left_semi")
+    out, held = None, []
+
+    def add(out: DataFrame | None, held: list) -> DataFrame:
+        spark = docs.sparkSession
+        wanted = spark.createDataFrame(pa.table({"term": sorted({t for _, words in held for t in words})}, schema=pa.schema([("term", pa.string())])))
+        idf = {r.term: r.idf for r in terms.join(F.broadcast(wanted), "term").toLocalIterator()}  # terms of one block
+        found = top_per_group(_scored(held, pool, key, text, idf, avgdl, k, itself), "query", [F.desc("score"), F.col(key)], k)
+        names = F.array(*[F.lit(q) for q, _ in held])
+        found = found.select(F.get(names, F.col("query").cast("int")).cast(kind).alias("_query"), key, "score", F.col("rank").cast("long").alias("rank"))
+        return found if out is None else out.unionByName(found)
+
+    for r in ordered:
+        held.append((r[0], _words(r[1])))
+        if len(held) == block:
+            out, held = add(out, held), []
+    if held or out is None:
+        out = add(out, held) if held else pool.select(F.lit(None).cast(kind).alias("_query"), key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
+    return out.select(F.col("_query").alias(query_key if query_key != key else f"{key}_query"), key, "score", "rank")
+
+
+def top_k_pairs(docs: DataFrame, k: int = 5, least: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pairs a, b (a the query document) and score: every document's best k others of ``least`` or more, each pair once.
+
+    Scores aren't symmetric: a pair has the score of the direction whose query document comes first in order of keys,
+    if that direction is among its best k and reaches ``least``, else of the other. Best pairs first.
     """
-    post = postings(docs, key, text)
-    terms, corpus = statistics(docs, post, text)
-    asked = postings(queries, query_key, query_text).select(query_key, "term", F.col("tf").alias("qtf"))
-    hits = asked.join(terms, "term").join(post, "term").join(F.broadcast(corpus.select("avgdl")), how="cross")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy(query_key, key).agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"))
-    return top_per_group(scored, query_key, [F.desc("score"), F.col(key)], k).select(query_key, key, "score", F.col("rank").cast("long").alias("rank"))
+    found = top_k(docs, docs, k, key, text, key, text, itself=True).where(F.col("score") >= least)
+    one, two = F.col(f"{key}_query"), F.col(key)
+    pairs = found.groupBy(F.least(one, two).alias("_low"), F.greatest(one, two).alias("_high")).agg(F.min_by(F.struct(one.alias("a"), two.alias("b"), "score"), one).alias("p"))
+    return pairs.select("p.*").orderBy(F.desc("score"), "a", "b")

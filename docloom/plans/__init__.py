@@ -1 +1,3 @@
-"""Named queries over the driver's tables."""
+"""Queries by name and their SQL; importing this fills the registry."""
+
+from . import more, registry  # noqa: F401

@@ -79,7 +79,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(_BM25 + " SELECT term, round(idf, 9) AS idf FROM terms")
 def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    terms, _ = bm25.statistics(docs, bm25.postings(docs, "doc_id", "text"), "text")
+    terms, _ = bm25.statistics(docs, bm25.postings(docs, "doc_id", "text"))
     return terms.select("term", F.round("idf", 9).alias("idf"))
 
 
@@ -115,7 +115,7 @@ events AS (SELECT page_id, kind FROM e WHERE kind IS NOT NULL)"""
 
 @query(_EVENTS + " SELECT page_id, kind FROM events")
 def sync_events(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.page_events(*_states(spark, d))
+    return reconcile.page_events(*_states(spark, d)).select("page_id", "kind")
 
 
 @query(_EVENTS + " SELECT kind, count(*) AS n FROM events GROUP BY 1")
@@ -126,7 +126,7 @@ def sync_event_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(_EVENTS + " SELECT page_id, CASE WHEN kind = 'CONTENT_EDIT' AND page_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'CONFLICT' ELSE kind END AS kind FROM events")
 def sync_conflicts(spark: SparkSession, d: str) -> DataFrame:
     edited = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("page_id"))
-    return reconcile.upgrade(reconcile.page_events(*_states(spark, d)), edited, "CONTENT_EDIT", "CONFLICT")
+    return reconcile.upgrade(reconcile.page_events(*_states(spark, d)), edited, "CONTENT_EDIT", "CONFLICT").select("page_id", "kind")
 
 
 @query(
@@ -157,7 +157,7 @@ UNION ALL SELECT r_regionkey, 0, r_name FROM region"""
 def page_tree(spark: SparkSession, d: str) -> DataFrame:
     roots = table(spark, d, "region").select(F.col("r_regionkey").alias("node_id"), F.lit(None).cast("int").alias("parent_id"), F.col("r_name").alias("title"))
     leaves = table(spark, d, "nation").select((F.col("n_nationkey") + 100).alias("node_id"), F.col("n_regionkey").alias("parent_id"), F.col("n_name").alias("title"))
-    return trees.page_paths(spark, roots.unionByName(leaves))
+    return trees.page_paths(spark, roots.unionByName(leaves)).select("node_id", "depth", "path")
 
 
 @query("SELECT source, count(*) AS n FROM documents WHERE NOT (lower(source) = 'src3' OR starts_with(lower(source), 'src1')) GROUP BY 1")
@@ -244,13 +244,13 @@ _PATHS = "WITH p AS (SELECT page_id, regexp_replace(url, '^[^:]*://', '') AS pat
 
 @query(
     _PATHS
-    + """, c AS (SELECT DISTINCT regexp_extract(path, '^([^/]*/[^/]*)/', 1) AS a FROM p WHERE page_id % 3 = 0 UNION SELECT DISTINCT regexp_extract(path, '^([^/]*)/', 1) FROM p WHERE page_id % 5 = 0)
+    + """, c AS (SELECT DISTINCT regexp_extract(path, '^([^/]*/de)/', 1) AS a FROM p UNION SELECT DISTINCT regexp_extract(path, '^([^/]*)/', 1) FROM p)
 SELECT page_id, (SELECT max_by(a, len(a)) FROM c WHERE a <> '' AND starts_with(p.path, a || '/')) AS ancestor FROM p"""
 )
 def nearest_ancestors(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[^:]*://", "").alias("path"))
-    deep = pages.where("page_id % 3 = 0").select(F.regexp_extract("path", "^([^/]*/[^/]*)/", 1).alias("path"))
-    flat = pages.where("page_id % 5 = 0").select(F.regexp_extract("path", "^([^/]*)/", 1).alias("path"))
+    deep = pages.select(F.regexp_extract("path", "^([^/]*/de)/", 1).alias("path"))
+    flat = pages.select(F.regexp_extract("path", "^([^/]*)/", 1).alias("path"))
     return mirrors.nearest_ancestor(pages, deep.union(flat).where("path <> ''")).select("page_id", "ancestor")
 
 
