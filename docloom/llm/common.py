@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode only."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
@@ -80,7 +82,7 @@ def map_rows(df: DataFrame, fields: list[T.StructField], make: Callable[[], Call
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts together have about ``most`` bytes (a longer text is alone)."""
     lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
     lengths = lengths.fill_null(0).to_numpy(zero_copy_only=False)

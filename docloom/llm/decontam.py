@@ -190,7 +190,7 @@ def _search(column: pa.Array, phrases: Phrases):
 
 def _stage(docs: DataFrame, text: str, phrases: Phrases, remove: bool, shard: int) -> DataFrame:
     kinds = "n_words long, items array<string>, spans array<struct<start:int,end:int>>" + ", _cut string" * remove
-    fields = T._parse_datatype_string(kinds).fields
+    fields = T.StructType.fromDDL(kinds).fields
 
     def make():
         ids = pa.array(phrases.ids, pa.string())

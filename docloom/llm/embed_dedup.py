@@ -91,10 +91,6 @@ def _keys(classes: DataFrame, tables: int) -> DataFrame:
     return rows.withColumn("key", F.struct("label", "dim", "table", "bucket"))
 
 
-def _signature(x: np.ndarray, tables: int) -> tuple[np.ndarray, np.ndarray]:
-    return buckets(x, tables)
-
-
 def links(classes: DataFrame, least: float, tables: int = TABLES, block: int = 1024) -> DataFrame:
     """Verified links of distinct vectors (rep, label, embedding, copies): rows (a, b, n).
 

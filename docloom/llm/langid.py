@@ -86,18 +86,16 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.n
     return centres, np.array(far)
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, centroids: int = 4, most_languages: int = 256) -> Model:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, centroids: int = 4) -> Model:
     """Fit on rows whose id's crc32 is not 2 modulo 4, with a text and a language.
 
     Document frequencies cover all of these rows. The centroids of a language are clustered from a sample of about
-    ``per_language`` of its rows (chosen by a hash of the id); the model has at most ``most_languages`` languages,
-    which bounds it. No usable row gives a model without languages.
+    ``per_language`` of its rows (chosen by a hash of the id). The model has all languages there are, some 130 kB
+    each. No usable row gives a model without languages.
     """
     usable = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).where((fold(F.col("_id")) != 2) & F.col("_text").isNotNull() & F.col("_lang").isNotNull())
-    sizes = usable.groupBy("_lang").agg(F.count("*").alias("_n")).limit(most_languages + 1).collect()
-    if len(sizes) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    total = sum(r._n for r in sizes)
+    sizes = usable.groupBy("_lang").agg(F.count("*").alias("_n"))
+    counted = sizes.agg(F.count("*").alias("languages"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(SIZE, dtype=np.int64)
@@ -111,12 +109,13 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     df = np.zeros(SIZE)
     for r in found:
         df[r.bucket] = r.n
-    idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    rate = F.create_map(*[x for r in sizes for x in (F.lit(r._lang), F.lit(min(1.0, per_language / r._n)))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
-    chosen = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < rate[F.col("_lang")] * (1 << 30))
+    idf = (np.log((1 + counted.rows) / (1 + df)) + 1).astype(np.float32)
+    rates = sizes.select("_lang", F.least(F.lit(1.0), F.lit(per_language) / F.col("_n")).alias("_rate"))
+    rates = F.broadcast(rates) if counted.languages <= 100_000 else rates
+    chosen = usable.join(rates, "_lang").where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.col("_rate") * (1 << 30)).select("_id", "_text", "_lang")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_id")
+        pdf = pdf.sort_values(["_id", "_text"])
         x = np.concatenate([vectors(counts(pa.array(pdf["_text"][i : i + 64], pa.string())), idf) for i in range(0, len(pdf), 64)])
         centres, far = _clusters(x, centroids)
         return pd.DataFrame({"lang": pdf["_lang"].iloc[0], "reach": far, "centre": list(centres.astype(np.float32))})
@@ -135,7 +134,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A rejected text keeps its nearest language; the caller decides. Columns of the results' names are replaced.
     """
     docs = without(docs, "lang_pred", "score", "rejected", "_letter").withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    fields = T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields
+    fields = T.StructType.fromDDL("lang_pred string, score double, rejected boolean").fields
 
     def make():
         names = np.array([*model.languages, "und"], dtype=object)
@@ -143,9 +142,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         def part(column: pa.Array, letter: np.ndarray) -> list[np.ndarray]:
             best, near, owner = np.zeros(len(column), dtype=int), np.zeros(len(column)), np.full(len(column), len(names) - 1)
             if len(model.owner):
-                cosine = vectors(counts(column), model.idf) @ model.centroids.T
-                best = np.argmax(cosine, 1)
-                near = np.clip(cosine[np.arange(len(best)), best].astype(float), 0, 1)
+                x, near = vectors(counts(column), model.idf), np.full(len(column), -np.inf)
+                for a in range(0, len(model.owner), 1024):
+                    cosine = x @ model.centroids[a : a + 1024].T
+                    first = np.argmax(cosine, 1)
+                    nearer = cosine[np.arange(len(x)), first] > near
+                    best, near = np.where(nearer, a + first, best), np.where(nearer, cosine[np.arange(len(x)), first], near)
+                near = np.clip(near.astype(float), 0, 1)
                 owner = np.where(letter, model.owner[best], len(names) - 1)
             near = np.where(letter, near, 0.0)
             far = (1 - near > model.reach[best]) if len(model.owner) else np.ones(len(column), dtype=bool)

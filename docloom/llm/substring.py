@@ -139,7 +139,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     docs = without(docs, "_id", "_hash", "spans")
     found = repeats(docs, doc_id, text, length).groupBy(*_ROW).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    fields = T._parse_datatype_string("n_words long, n_removed long, removed array<struct<first:int,last:int>>, kept_text string").fields
+    fields = T.StructType.fromDDL("n_words long, n_removed long, removed array<struct<first:int,last:int>>, kept_text string").fields
 
     def make():
         def part(column: pa.Array, spans: pa.Array) -> list[pa.Array]:

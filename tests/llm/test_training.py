@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, common, decontam, embed_dedup, graph, jaccard, langid, secrets, sentpiece, simhash, substring, toxicity, urls
+from docloom.llm import chat, common, decontam, embed_dedup, graph, langid, secrets, sentpiece, simhash, substring, toxicity, urls
 from docloom.llm.queries import PIECE_MODEL, QUERIES
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -79,8 +79,6 @@ def test_simhash(spark, texts):
     least = {r: min(i for i, q in zip(ids, root) if q == r and i is not None) for r in set(root) if any(i is not None for i, q in zip(ids, root) if q == r)}
     want = sorted((str(i), least.get(r)) for i, r in zip(ids, root))
     assert sorted((str(r.doc_id), r.component_id) for r in got) == want
-    kept = simhash.one_of_each(frame(spark, [x for x in texts if x[0] is not None])).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(least.values()) - {None})
 
 
 def planted_copies():
@@ -120,10 +118,10 @@ def test_near_copies_are_found(spark):
     rows = planted_copies()
     want = kept_by_jaccard(rows)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), FOLDER).collect()) == want
-    assert len(want) < len(simhash.one_of_each(frame(spark, rows)).collect())
-    odd = [(1, None), (1, None), (2, "one two"), (2, "one two")]
-    assert sorted(r.doc_id for r in jaccard.one_of_each(frame(spark, odd)).collect()) == [1, 2]
-    assert jaccard.one_of_each(frame(spark, [])).count() == 0
+    odd = [(1, None), (1, None), (2, "one two"), (2, "one two"), (None, "x y z"), (None, "x y z"), (3, "x  y z"), (4, "a b"), (4, "c d"), (None, "null only")]
+    kept = simhash.one_of_each(frame(spark, odd)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == [("1", ""), ("2", "one two"), ("3", "x  y z"), ("4", "a b"), ("4", "c d"), ("None", "null only")]
+    assert simhash.one_of_each(frame(spark, [])).count() == 0
 
 
 def test_hamming_links_are_whole(spark):
@@ -276,6 +274,38 @@ def test_urls(spark):
     assert got[3][:3] == ("xnet", "/de/1", None) and got[7][:3] == ("a.org", "", None)
     assert all(g[:3] == ("", "", None) for g in got[4:7])
     assert got[8][3] == "block" and got[9][3] == "allow"
+    assert urls.judge(rows.limit(0), [0.0] * (urls.BUCKETS + 1)).count() == 0
+
+
+def test_url_weights_against_numpy(spark):
+    table = urls.labelled_urls(spark, 300)
+    weights = urls.train(table.unionByName(table.limit(1).selectExpr("cast(null as string) AS url", "blocked")))
+    host, path = urls.host_and_path(F.col("url"))
+    rows = table.select(urls.buckets(host, path).alias("b"), "blocked").collect()
+    x = np.zeros((len(rows), urls.BUCKETS + 1))
+    for k, r in enumerate(rows):
+        np.add.at(x[k], r.b, len(r.b) ** -0.5)
+        x[k, -1] = 1
+    y, w, ahead = np.array([r.blocked for r in rows]), np.zeros(urls.BUCKETS + 1), np.zeros(urls.BUCKETS + 1)
+    ridge = 0.5 * (np.arange(len(w)) < urls.BUCKETS)
+    bound = 0.25 * x.T @ x.sum(1) + ridge
+    for n in range(40):
+        new = ahead - (x.T @ (1 / (1 + np.exp(-(x @ ahead))) - y) + ridge * ahead) / np.where(bound > 0, bound, 1)
+        w, ahead = new, new + n / (n + 3) * (new - w)
+    assert np.allclose(weights, w, atol=1e-6)
+
+
+def test_url_model_knows_unseen_hosts(spark):
+    bad = [f"{a}-{b}" for a, b in zip("casino cheap adult spam ads free poker loans track".split(), "farm shop city win pills bets market press lab".split())]
+    bad += ["spamfarm", "casinocity", "ads-tracking", "bets365x", "pillsmarket"]
+    good = "zeitung grunwald lefigaro biblioteca therhe tionble ththan museumshop schoolbus newsletter gardenhouse rivertown weatherly booksellers".split()
+    rows = [(f"http://{p}{h}.example.{d}{path}", int(h in bad)) for h in bad + good for p, d, path in (("", "com", "/fr/12"), ("www.", "net", "/fr/7/"), ("blog.", "org", "/it/3.html"), ("m.", "com", ""))]
+    seen = {r.url.split("://")[1].split("/")[0].split(".example")[0].removeprefix("www.").removeprefix("blog.").removeprefix("m.") for r in urls.labelled_urls(spark).collect()}
+    assert not seen & set(bad + good)
+    table = spark.createDataFrame(rows, "url string, y int")
+    got = urls.judge(table, urls.train(urls.labelled_urls(spark)), rules=()).collect()
+    hit, said, true = (sum(f) for f in zip(*[(r.verdict == "block" and r.y == 1, r.verdict == "block", r.y == 1) for r in got]))
+    assert hit >= 0.8 * true and hit >= 0.8 * said
 
 
 def test_chat(spark):
@@ -317,48 +347,80 @@ def test_language_id(spark):
     got = {r.doc_id: r for r in langid.predict(docs, langid.train(docs)).collect()}
     assert all(got[k].lang_pred == lang for k, _, lang, _, _ in rows if k is not None and k < 900)
     assert [got[k].lang_pred for k in (900, 901, 902)] == ["und"] * 3 and got[None].lang_pred == "aa"
+    code = lambda n: "".join(chr(97 + n // 26**j % 26) for j in range(2))
+    many = [(k, f"{code(k // 8)}v{code(k // 8)} q{code(k // 8)}z " * (k % 8 + 1), f"l{k // 8}", "s", 0) for k in range(2400)]
+    table = spark.createDataFrame(many, SHAPE)
+    found = {r.doc_id: r.lang_pred for r in langid.predict(table, langid.train(table)).collect()}
+    assert sum(found[k] == lang for k, _, lang, _, _ in many) > 2300
     empty = langid.predict(docs, langid.train(docs.limit(0)))
     assert {r.lang_pred for r in empty.collect()} == {"und"}
 
 
+def word_grams(line, order=toxicity.ORDER):
+    """The n-gram of each symbol as a tuple: the word so far and the blank before it, cut to ``order`` symbols."""
+    code, out, start = [toxicity.BLANK, *[int(toxicity.SYMBOL[b]) for b in (line or "").encode()], toxicity.BLANK], [], 0
+    for k in range(1, len(code)):
+        out.append(tuple(code[max(start, k - order + 1) : k + 1]))
+        start = k if code[k] == toxicity.BLANK else start
+    return out
+
+
+def packed(gram):
+    return sum(c << toxicity.BITS * i for i, c in enumerate(reversed(gram))) | len(gram) << toxicity.TOP
+
+
 def test_toxicity_ngrams_stay_within_words():
-    for order in (toxicity.SHARED, toxicity.ORDER):
-        lines = ["Ab  cde\nlonger-than-twelve", "", None, "é1", "x"]
-        want = []
+    lines = ["Ab  cde\nlonger-than-twelve", "", None, "é1", "x"]
+    want = [packed(g) for line in lines for g in word_grams(line)]
+    key, row, first = toxicity._keys(pa.array(lines))
+    assert key.tolist() == want and first[-1] == len(want) == len(row)
+
+
+class Chances:
+    """Kneser-Ney chances of one class over shared lower ones, from dictionaries."""
+
+    def __init__(self, lines, shared):
+        self.shared, self.count = shared, {}
         for line in lines:
-            code = [int(toxicity.SYMBOL[b]) for b in (line or "").encode()] + [toxicity.BLANK]
-            for k in range(len(code)):
-                own = k
-                while own > 0 and code[own - 1] != toxicity.BLANK:
-                    own -= 1
-                gram = ([toxicity.BLANK] * order + code[own : k + 1])[-order:]
-                want.append(sum(c << toxicity.BITS * i for i, c in enumerate(reversed(gram))))
-        key, row, first = toxicity._keys(pa.array(lines), order)
-        assert key.tolist() == want and first[-1] == len(want) == len(row)
-
-
-def test_toxicity_ratios_against_brute_force(spark):
-    rows = [("ab abc", 1), ("ab ac", 1), ("ab b ab", 0), ("ac c", 0)]
-    shared = np.full(1 << 20, 0.125)
-    model = toxicity.likelihood_ratios(toxicity.class_counts(spark.createDataFrame(rows, "text string, toxic int")), shared, least=1)
-    counts = [{}, {}]
-    for text, y in rows:
-        for k in toxicity._keys(pa.array([text]), toxicity.ORDER)[0].tolist():
-            counts[y][k] = counts[y].get(k, 0) + 1
-    logs = {}
-    for k in {*counts[0], *counts[1]}:
-        for y, own in enumerate(counts):
-            d = toxicity.discount(sum(n == 1 for n in own.values()), sum(n == 2 for n in own.values()))
-            same = [n for g, n in own.items() if g >> toxicity.BITS == k >> toxicity.BITS]
-            p = (max(own.get(k, 0) - d, 0) + d * len(same) * 0.125) / sum(same) if same else 0.125
-            logs[k] = logs.get(k, 0) + (1 if y else -1) * np.log(p)
-    assert model.key.tolist() == sorted(logs)
-    assert np.allclose(model.ratio, [logs[k] for k in sorted(logs)], atol=1e-5)
-    assert np.allclose(model.ratios(model.key[::-1]), model.ratio[::-1]) and model.ratios(np.array([7])).tolist() == [0]
+            for g in word_grams(line):
+                self.count[g] = self.count.get(g, 0) + 1
+
+    def of(self, gram):
+        lower = self.shared[int(toxicity._short(np.array([packed(gram)]), toxicity.SHARED - 1)[0])]
+        level = [(g, n) for g, n in self.count.items() if len(g) == len(gram)]
+        once, twice = (sum(n == k for _, n in level) for k in (1, 2))
+        d = toxicity.discount(once, twice)
+        same = [n for g, n in level if g[:-1] == gram[:-1]]
+        return (max(self.count.get(gram, 0) - d, 0) + d * len(same) * lower) / sum(same) if same else lower
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    rng = random.Random(6)
+    stems = ["trash", "trashing", "window", "windows", "garden", "gardener", "river", "réeux", "longerthanmost"]
+    lines = [" ".join(rng.choice(stems) + rng.choice(["", "s", "er", "9"]) for _ in range(9)) for _ in range(12)]
+    rows = [(t, k % 2) for k, t in enumerate(lines)]
+    shared = np.random.default_rng(1).uniform(0.01, 0.2, 1 << 20)
+    counts = toxicity.class_counts(spark.createDataFrame(rows, "text string, toxic int").withColumn("part", F.lit(0))).toArrow()
+    model = toxicity.likelihood_ratios(counts["key"].to_numpy(), np.column_stack([counts[c].to_numpy() for c in toxicity.CLASSES]), shared)
+    toxic, ordinary = (Chances([t for t, y in rows if y == c], shared) for c in (1, 0))
+    model.weights = np.array([0.7, -0.2, 0.1])
+    unseen = ["trashy rivers", "gardenwindow", "", None, "zzz réeuxer longerthanmosts", lines[0] + " trash " * 40]
+    got = {r.k: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(unseen + lines)), "k int, text string"), model).collect()}
+    for k, line in enumerate(unseen + lines):
+        grams = word_grams(line)
+        ratios = [np.log(toxic.of(g)) - np.log(ordinary.of(g)) for g in grams]
+        assert np.allclose(model.ratios(np.array([packed(g) for g in grams])), ratios, atol=1e-4)
+        over = word = 0.0
+        for g, r in zip(grams, ratios):
+            word += r
+            if g[-1] == toxicity.BLANK:
+                over, word = over + max(word - toxicity.MARGIN, 0), 0.0
+        x = 0.7 * np.log1p(over) - 0.2 * np.log1p(len(grams)) + 0.1
+        assert abs(got[k] - 1 / (1 + np.exp(-x))) < 1e-3
 
 
 def test_toxicity_on_held_out_rows(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where(common.fold(F.col("doc_id")) == 2)
     rows = [(r.toxic, r.score) for r in scored.select("toxic", "score").collect()]
     better = np.mean([a > b for t, a in rows for u, b in rows if t == 1 and u == 0])
@@ -367,6 +429,37 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, toxicity.train(docs.limit(0), labels)).collect())
 
 
+def test_language_id_on_held_out_rows(spark):
+    rows = QUERIES["op5_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = rows.where("held_out and lang is not null").select("lang", "lang_pred").collect()
+    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
+
+
+def test_extreme_inputs(spark):
+    """Empty tables, one very long text, clashing columns and repeated rows through every operator on texts."""
+    long = " ".join(f"w{k % 977}" for k in range(400_000))
+    clash = frame(spark, [(1, long), (1, long), (2, ""), (None, None)]).withColumns({c: F.lit("x") for c in ("secrets", "items", "spans", "n_words", "fingerprint", "component_id", "lang_pred", "length", "ids", "kept_text")})
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    table = secrets.train(secrets.labelled_samples(spark, 200))
+    steps = {
+        "secrets": lambda d: secrets.redact(secrets.scan(d, table)),
+        "decontamination": lambda d: decontam.decontaminate(d, bench, remove=True),
+        "language": lambda d: langid.predict(d, langid.train(d)),
+        "substring": substring.remove_repeats,
+        "tokens": lambda d: sentpiece.encode(d, PIECE_MODEL),
+        "simhash": lambda d: simhash.near_duplicates(d, keep_columns=False),
+        "toxicity": lambda d: toxicity.score(d, toxicity.train(d, labels)),
+    }
+    for name, step in steps.items():
+        assert step(clash).count() == 4, name
+        assert step(clash.limit(0)).count() == 0, name
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string, host string"), [0.0] * (urls.BUCKETS + 1)).count() == 0
+    assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    assert chat.format_conversations(spark.createDataFrame([(None, 1, "user", "a"), (None, 1, "user", "a")], "conv_id long, turn long, role string, text string")).first().formatted.count("[INST] a") == 2
+    assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int, kept string")).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op2_url_filters", "op5_language_id", "op9_simhash_near_dedup"])
 def test_queries_return_all_rows(spark, name):
     source = "pages" if name.startswith("op2") else "documents"
