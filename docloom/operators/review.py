@@ -62,9 +62,9 @@ def duplicate_findings(answers: DataFrame) -> DataFrame:
 
 def inconsistency_findings(answers: DataFrame) -> DataFrame:
     """a, b and the contradictions (issue and both quotes) of the answers that have any."""
-    shape = "array<struct<page_a_quote:string,page_b_quote:string,issue:string>>"
-    rows = answers.select("a", "b", F.from_json(fm.field(json_object(F.col("answer")), "contradictions"), shape).alias("c"))
-    kept = F.transform(F.filter("c", lambda s: s.isNotNull()), lambda s: F.struct(*[F.coalesce(s[k], F.lit("")).alias(k) for k in ("page_a_quote", "page_b_quote", "issue")]))
+    rows = answers.select("a", "b", F.from_json(fm.field(json_object(F.col("answer")), "contradictions"), "array<string>").alias("c"))
+    item = lambda s: F.struct(*[F.coalesce(F.get_json_object(s, f"$.{k}"), F.lit("")).alias(k) for k in ("page_a_quote", "page_b_quote", "issue")])
+    kept = F.transform(F.filter("c", lambda s: s.startswith("{")), item)
     return rows.select("a", "b", kept.alias("contradictions")).where(F.size("contradictions") > 0)
 
 

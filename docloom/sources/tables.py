@@ -13,5 +13,5 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     """path and text of all Markdown files below a folder, each one row."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
