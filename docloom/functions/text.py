@@ -55,6 +55,11 @@ def body_hash(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def content_digest(text: Column) -> Column:
+    """The 32 bytes of the whole text's SHA-256."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def escape_markdown(text: Column) -> Column:
     """A backslash before each ASCII punctuation character."""
     return F.regexp_replace(text, r"([!-/:-@\[-`{-~])", r"\\$1")
