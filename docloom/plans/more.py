@@ -263,3 +263,46 @@ def attachment_actions(spark: SparkSession, d: str) -> DataFrame:
     older = docs.withColumns({"version": F.lit(1), "ord": F.lit(0), "size": F.lit(0)})
     manifest = docs.where("lang = 'en'").select("page_id", "filename", "version")
     return mirrors.attachment_plan(docs.drop("lang").unionByName(older.drop("lang")), manifest, 3000).select(F.col("page_id").alias("doc_id"), "action")
+
+
+@query("SELECT item_id, text AS body, 'x' || chr(10) || text AS other FROM benchmark")
+def stripped_headers(spark: SparkSession, d: str) -> DataFrame:
+    quoted = F.concat(F.lit("\n> \n> **Confluence export** of a page\n> and more\n\n# Title #\n\n"), "text")
+    body = headers.strip_title_heading(headers.strip_export_header(quoted), F.lit("Title"))
+    return table(spark, d, "benchmark").select("item_id", body.alias("body"), headers.strip_export_header(F.concat(F.lit("x\n"), "text")).alias("other"))
+
+
+@query("SELECT item_id, '2024-0' || (1 + item_id % 9) || '-05' AS day, '7' AS page, text AS body FROM benchmark")
+def frontmatter_fields(spark: SparkSession, d: str) -> DataFrame:
+    day = F.concat(F.lit("2024-0"), (1 + F.col("item_id") % 9).cast("string"), F.lit("-05"))
+    whole = F.concat(F.lit("---\nupdated_at: '"), day, F.lit("'\nconfluence:\n  page_id: 7\n---\n"), "text")
+    rows = table(spark, d, "benchmark").select("item_id", whole.alias("whole")).withColumn("fm", fm.frontmatter(F.col("whole")))
+    return rows.select("item_id", fm.updated_at(F.col("whole"), F.col("fm")).cast("string").alias("day"), fm.page_id(F.col("fm")).alias("page"), fm.body(F.col("whole")).alias("body"))
+
+
+@query("SELECT item_id, 'a b' || item_id || '.png,f.pdf' AS sources FROM benchmark")
+def image_sources(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("![alt](a%20b"), F.col("item_id").cast("string"), F.lit('.png "t") `![no](x.png)` ![web](http://h/i.png)\n```\n![no](y.png)\n```\n[l](confluence-attachment:f.pdf;v=2) '), F.lower(F.regexp_replace("text", r"[^A-Za-z ]", "")))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(links.local_images(text), ",").alias("sources"))
+
+
+@query("SELECT item_id, 1::INT AS first, 3::INT AS last, true AS same FROM benchmark")
+def frontmatter_lines(spark: SparkSession, d: str) -> DataFrame:
+    whole = F.concat(F.lit("---\nz: 1\n---\n"), "text")
+    rows = table(spark, d, "benchmark").select("item_id", whole.alias("whole"), fm.line_range(whole).alias("r"))
+    synced = fm.put_sync(F.col("whole"), F.lit('{"hash": "x"}'))
+    same = fm.content_hash(synced) == fm.content_hash(fm.put_sync(F.col("whole"), F.lit('{"hash": "y"}')))
+    return rows.select("item_id", F.col("r.start").alias("first"), F.col("r.end").alias("last"), same.alias("same"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'Callout' ELSE 'BlockQuote' END AS kind, CASE WHEN lang = 'en' THEN 'note' END AS callout, CASE WHEN lang = 'en' THEN source ELSE '[!other] ' || source END AS text FROM documents")
+def callout_nodes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    mark = F.concat(F.when(F.col("lang") == "en", "[!NOTE]  ").otherwise("[!other] "), "source")
+    row = lambda path, tier, kind, text: docs.select("doc_id", F.array(*[F.lit(p) for p in path]).alias("path"), F.lit(tier).alias("tier"), F.lit("children").alias("slot"), F.lit(kind).alias("kind"), F.lit("").alias("node_id"), text.alias("text"), none.alias("attrs"), F.lit(False).alias("tight"))
+    nothing = F.lit(None).cast("string")
+    tree = row([0], "block", "BlockQuote", nothing).unionByName(row([0, 0], "block", "Paragraph", nothing)).unionByName(row([0, 0, 0], "inline", "Text", mark))
+    done = nodes.normalise(tree)
+    texts = done.where("kind = 'Text'").select("doc_id", "text")
+    return done.where("size(path) = 1").select("doc_id", "kind", F.col("text").alias("callout")).join(texts, "doc_id")
