@@ -61,6 +61,10 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select([c for c in df.columns if c.lower() not in taken])
 
 
+#: Rows that a function gets at once, so that a task holds little besides Spark's own batch.
+ROWS = 2048
+
+
 def map_rows(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """Append columns that a function computes from each Arrow batch; same-named input columns are replaced.
 
@@ -73,11 +77,13 @@ def map_rows(df: DataFrame, fields: list[T.StructField], make: Callable[[], Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 out = work(batch)
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in kept] + [out[c] for c in new]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *new])
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

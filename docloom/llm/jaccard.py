@@ -1,8 +1,8 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: a prefix join that misses no pair."""
+"""The exact check of near-duplicates: Jaccard similarity of word shingles over a prefix join."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, slices, stored, without
+from .common import map_rows, slices, stored
 from .graph import connected_components, pairs, run_starts, whole_runs
 from .words import NOT_BLANK, grams, words
 
+#: Which pairs of prints (rows of segments) may belong to similar sets, and by how many bits they differ.
+Near = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 #: Bits of a shingle's place in the table of frequencies, and places that travel in one row.
 PLACES, CHUNK = 20, 1 << 14
 
@@ -42,13 +44,27 @@ def _parts(batch: pa.RecordBatch, text: str, shingle: int) -> Iterator[np.ndarra
         yield from _sets(column.slice(a, b - a), shingle)
 
 
-def _with_set_id(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+def with_set_id(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """Append _set: a hash of each text's set of shingles."""
+
     def make():
         return lambda batch: {"_set": _signed([_set_id(x) for x in _parts(batch, text, shingle)])}
 
     return map_rows(docs, [T.StructField("_set", T.LongType())], make)
 
 
+def set_ids(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """_id and _set of every row; the texts don't come back from the tasks' workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _signed([_set_id(x) for x in _parts(batch, text, shingle)])], ["_id", "_set"])
+            pa.default_memory_pool().release_unused()
+
+    schema = T.StructType([T.StructField("_id", docs.schema[doc_id].dataType), T.StructField("_set", T.LongType())])
+    return docs.select(doc_id, text).mapInArrow(run, schema)
+
+
 def _frequencies(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     """About how often shingles occur, by the first ``PLACES`` bits of their hashes (shingles share places)."""
 
@@ -80,22 +96,27 @@ def _least_overlap(a, b, least: float):
 
 
 def _prefixes(docs: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
-    """Rows (key, id, size): each set's rarest shingles, so many that similar sets have one of them in common."""
+    """Rows (key, id, size): each set's rarest shingles, so many that similar sets have one of them in common; size holds the key's place above 32 bits."""
     common = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, text, shingle))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task deals each set once, so copies cost nothing more
         for batch in batches:
             key, ids, size = [np.zeros(0, dtype=np.uint64)], [], []
             for x in _parts(batch, text, shingle):
                 n = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1 if len(x) else 0
+                own = _set_id(x)
+                if own in seen:
+                    continue
+                seen.add(own)
                 # Any order of all shingles will do; by frequency, prefixes of unlike sets seldom meet.
                 key.append(x[np.argsort(common.value[x >> np.uint64(64 - PLACES)], kind="stable")[:n]])
-                ids.append(np.full(n, _set_id(x), dtype=np.uint64))
-                size.append(np.full(n, len(x), dtype=np.int32))
-            columns = [np.concatenate(key).view(np.int64), np.concatenate([key[0], *ids]).view(np.int64), np.concatenate([np.zeros(0, dtype=np.int32), *size])]
+                ids.append(np.full(n, own, dtype=np.uint64))
+                size.append(np.arange(n, dtype=np.int64) << 32 | len(x))
+            columns = [np.concatenate(key).view(np.int64), np.concatenate([key[0], *ids]).view(np.int64), np.concatenate([np.zeros(0, dtype=np.int64), *size])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "size"])
 
-    return docs.select(text).mapInArrow(deal, "key long, id long, size int")
+    return docs.select(text).mapInArrow(deal, "key long, id long, size long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -110,86 +131,148 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(pick, rows.schema)
 
 
-def _candidates(rows: DataFrame, least: float, turn: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of sets of one key, apart so far and near in size: all, or those with one pivot a key."""
+def _candidates(rows: DataFrame, least: float, near: Near, small: int, turn: int | None, pivots: int = 16) -> DataFrame:
+    """Distinct pairs (a, b) of sets of one key, apart so far, near in size and in print, with enough left after the key.
+
+    If a key is the first that two sets share, no shingle before it in either is common: what is left has to do. At
+    later keys this is asked as well, for the pair has met before. With a turn, a set meets the first ``pivots`` sets
+    of its key only, others at each key, and is paired with the nearest of them.
+    """
+
+    def tried(i: np.ndarray, j: np.ndarray, size: np.ndarray, place: np.ndarray, component: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        new = (component[i] != component[j]) & (low >= np.ceil(least * high - 1e-9))
+        new = np.flatnonzero(new & (np.minimum(size[i] - place[i], size[j] - place[j]) >= _least_overlap(low, high, least)))
+        good, apart = near(segments[i[new]], segments[j[new]])
+        good |= low[new] < small
+        return new[good], apart[good]
+
+    def pivoted(starts: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        length = np.diff(np.append(starts, n))
+        first, count = np.repeat(starts, length), np.repeat(length, length)
+        best, fewest = np.full(n, -1), np.full(n, np.iinfo(np.int32).max)
+        for p in range(min(pivots, int(length.max(initial=0)))):
+            i = np.flatnonzero(count > p)
+            at, apart = tried(i, first[i] + p, *columns)
+            better = apart < fewest[i[at]]
+            best[i[at][better]], fewest[i[at][better]] = first[i[at][better]] + p, apart[better]
+        i = np.flatnonzero(best >= 0)
+        yield i, best[i]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["key"]):
             starts = run_starts(table, ["key"])
-            ids, size, component = (table.column(c).to_numpy() for c in ("id", "size", "component"))
-            n = len(ids)
+            ids, packed, component = (table.column(c).to_numpy() for c in ("id", "size", "component"))
+            segments = np.frombuffer(b"".join(table.column("print").to_pylist()), dtype=np.uint16).reshape(len(ids), -1)
+            columns = packed & 0xFFFFFFFF, packed >> 32, component, segments
             if turn is None:
-                both = pairs(starts, n)
+                found = ((i[at], j[at]) for i, j in pairs(starts, len(ids)) for at in [tried(i, j, *columns)[0]])
             else:
-                count = np.diff(np.append(starts, n))
-                both = [(np.repeat(starts, count), np.arange(n))]
-            for i, j in both:
-                low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-                new = (component[i] != component[j]) & (low >= np.ceil(least * high - 1e-9))
-                a, b = ids[i[new]], ids[j[new]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    dealt = rows.withColumn("by", F.xxhash64("id", F.lit(turn or 0))).repartition("key").sortWithinPartitions("key", "by")
+                found = pivoted(starts, len(ids), *columns)
+            for i, j in found:
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+
+    dealt = rows.withColumn("by", F.xxhash64("id", "key", F.lit(turn or 0))).repartition("key").sortWithinPartitions("key", "by")
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
-def _similar(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of ``least`` or more."""
+def _similar(found: DataFrame, sets: DataFrame, least: float, most: int = 500_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """The pairs whose sets have a Jaccard similarity of ``least`` or more.
+
+    If the sets of all pairs have ``most_bytes`` at most they go to the pairs. Else the sets go where their pairs
+    are, which are broadcast to them first while they are ``most`` at most.
+    """
+
+    def same(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        return len(np.intersect1d(a, b, assume_unique=True)) >= _least_overlap(len(a), len(b), least)
+
+    ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    count = found.count()
+    wanted = sets.join(F.broadcast(ends) if count <= most else ends, "id", "left_semi")
+    if (wanted.agg(F.sum(F.octet_length("own"))).first()[0] or 0) <= most_bytes:
+        table = wanted.toArrow()
+        known = sets.sparkSession.sparkContext.broadcast(dict(zip(table["id"].to_pylist(), table["own"].to_pylist())))
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = [same(known.value[a], known.value[b]) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                yield batch.filter(pa.array(good, pa.bool_()))
+
+        return found.select("a", "b").mapInArrow(look, "a long, b long")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                good.append(len(np.intersect1d(x, y, assume_unique=True)) >= _least_overlap(len(x), len(y), least))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for table in whole_runs(batches, ["a", "b"], 1_000):
+            at = run_starts(table, ["a", "b"])
+            own = table.column("own").to_pylist()
+            good = np.array([same(own[k], own[k + 1]) for k in at.tolist()], dtype=bool)
+            yield from table.select(["a", "b"]).take(at[good]).to_batches()
 
-    both = found.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    both = found.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    met = sets.join(F.broadcast(both) if count <= most else both, "id").select("a", "b", "own")
+    return met.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(test, "a long, b long")
 
 
-def components(docs: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8, turns: int = 4) -> DataFrame:
+def _first_texts(docs: DataFrame, text: str, shingle: int, wanted: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """_set and text of one row of each wanted set. A task gives each set once, so copies of one text don't meet in one task.
+
+    While the wanted sets are ``most`` at most (16 MB), tasks leave out the others before anything moves.
+    """
+    ids = wanted.select("_set")
+    count = ids.count()
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["_set"].to_numpy())) if count <= most else None
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for whole in batches:
+            for a, b in slices(whole, text):
+                batch = whole.slice(a, b - a)
+                own = np.array([_set_id(x) for x in _parts(batch, text, shingle)], dtype=np.uint64).view(np.int64)
+                asked = np.isin(own, known.value) if known else np.ones(len(own), dtype=bool)
+                at = [k for k in np.flatnonzero(asked).tolist() if own[k] not in seen and not seen.add(own[k])]
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), batch.column(0).take(pa.array(at, pa.int64()))], ["_set", "text"])
+            pa.default_memory_pool().release_unused()
+
+    rows = docs.select(text).mapInArrow(pick, "_set long, text string")
+    rows = rows if known else rows.join(ids, "_set", "left_semi")
+    return rows.dropDuplicates(["_set"])
+
+
+def components(docs: DataFrame, text: str, shingle: int, least: float, near: Near, print_of: Callable[[np.ndarray], bytes], small: int, turns: int = 3) -> DataFrame:
     """Rows (node, component) of the sets (ids of ``_set``) that links of ``least`` or more connect to others.
 
     Of two sets of such a similarity, each has one of their common shingles among its first
     ``size - ceil(least * size) + 1`` in any order that all sets follow: they meet at that key, and no pair is missed.
-    Only components matter, so pairs of one component aren't compared. While keys hold far more pairs than rows, as
-    where thousands are alike, each key's sets meet one of them only; after ``turns`` of that, all that are apart.
+    Pairs that meet are pruned by their prints (``near``) unless a set has fewer than ``small`` shingles, and what is
+    left is checked on the sets themselves. Only components matter, so pairs of one component aren't compared. While
+    keys hold far more pairs than rows, as where thousands are alike, each set is checked with one other of its key;
+    after ``turns`` of that, with all that are apart.
     """
     rows = stored(_shared(_prefixes(docs, text, shingle, least)), "jaccard-keys")
     wanted = rows.select(F.col("id").alias("_set")).distinct()
 
     def make():
-        return lambda batch: {"own": pa.array([x.tobytes() for x in _parts(batch, text, shingle)], pa.binary())}
+        def work(batch: pa.RecordBatch) -> dict:
+            own = list(_parts(batch, "text", shingle))
+            return {"own": pa.array([x.tobytes() for x in own], pa.binary()), "print": pa.array(list(map(print_of, own)), pa.binary())}
+
+        return work
 
-    chosen = _with_set_id(docs.select(text), text, shingle).join(wanted, "_set", "left_semi").dropDuplicates(["_set"])
-    sets = stored(map_rows(chosen, [T.StructField("own", T.BinaryType())], make).select(F.col("_set").alias("id"), "own"), "jaccard-sets")
+    chosen = _first_texts(docs, text, shingle, wanted)
+    fields = [T.StructField("own", T.BinaryType()), T.StructField("print", T.BinaryType())]
+    sets = stored(map_rows(chosen, fields, make).select(F.col("_set").alias("id"), "own", "print"), "jaccard-sets")
+    rows = rows.join(sets.select("id", "print"), "id")
     links = rows.sparkSession.createDataFrame([], "a long, b long")
     rows = rows.withColumn("component", F.col("id"))
     for turn in range(turns + 1):
+        rows = stored(rows, "jaccard-rows")
         held = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         total = held.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")) / 2, F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
         last = turn == turns or total["pairs"] <= 8 * total["rows"]
-        links = stored(links.unionByName(_similar(_candidates(rows, least, None if last else turn + 1), sets, least)), "jaccard-links")
+        found = stored(_candidates(rows, least, near, small, None if last else turn + 1), "jaccard-pairs")
+        links = stored(links.unionByName(_similar(found, sets.select("id", "own"), least)), "jaccard-links")
         linked = stored(connected_components(links), "jaccard-components")
         if last:
             return linked
-        own = rows.select("key", "id", "size").join(linked.withColumnRenamed("node", "id"), "id", "left")
-        rows = stored(own.select("key", "id", "size", F.coalesce("component", "id").alias("component")), "jaccard-rows")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """Keep one document of each component of near-duplicates: that with the smallest id (one of repeated rows).
-
-    Documents link if their sets of word shingles are equal or have a Jaccard similarity of ``least`` or more. Words
-    are as in ``simhash``; a text of fewer words than a shingle is one shingle; null, empty and blank texts are equal.
-    """
-    columns = docs.columns
-    docs = without(docs, "_set", "_root", "_least")
-    classes = stored(_with_set_id(docs.select(doc_id, text), text, shingle).groupBy("_set").agg(F.min(doc_id).alias("_least")), "jaccard-classes")
-    linked = components(docs, text, shingle, least)
-    rooted = classes.join(linked, classes["_set"] == linked.node, "left").select("_set", "_least", F.coalesce("component", "_set").alias("_root"))
-    found = stored(rooted.drop("_least").join(rooted.groupBy("_root").agg(F.min("_least").alias("_least")), "_root"), "jaccard-groups")
-    kept = _with_set_id(docs, text, shingle).join(found, "_set").where(F.col(doc_id).eqNullSafe(F.col("_least")))
-    return kept.dropDuplicates(["_root"]).select(columns)
+        rows = rows.drop("component").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -29,7 +29,7 @@ class Codec:
     ``checked`` compares the ids of every newly encoded chunk, and every decoded text, with the sentencepiece library.
     """
 
-    def __init__(self, model: bytes, checked: bool = True, keep: int = 300_000):
+    def __init__(self, model: bytes, checked: bool = True, keep: int = 200_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
