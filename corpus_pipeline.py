@@ -7,13 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import common, decontam, jaccard, secrets, sentpiece, toxicity
+from docloom.llm import common, decontam, secrets, sentpiece, simhash, toxicity
 from docloom.llm.queries import PIECE_MODEL, table
 
 #: The score from which a document counts as toxic.
 TOXIC = 0.3
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows: texts are long, and a batch is held by the JVM and by the Python worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents, with n_chars of the text as it is now (a null text keeps its number)."""
     return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(columns)
@@ -21,17 +26,20 @@ def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the toxicity models reject."""
+    _small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, out="_toxicity").where(F.col("_toxicity") < TOXIC).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
-    return jaccard.one_of_each(docs)
+    _small_batches(spark)
+    return simhash.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of the benchmark out of texts."""
+    _small_batches(spark)
     done = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), remove=True)
     return _sized(done, docs.columns)
 
@@ -44,6 +52,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, checked against the library."""
+    _small_batches(spark)
     done = sentpiece.encode(docs, PIECE_MODEL)
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -56,7 +65,7 @@ STAGES = [
     ("sentencepiece", tokenise),
 ]
 
-#: SQL has no form of the models, XXH64 fingerprints and tokens; tests/llm hold the stages against brute force.
+#: SQL has no form of the models, fingerprints and tokens; tests/llm hold the near-duplicate stage and the operators against brute force.
 ORACLE_SQL = None
 
 
