@@ -59,10 +59,10 @@ def search_conversations(spark: SparkSession, d: str) -> DataFrame:
     return found.select("key.*", "line_no", "line")
 
 
-_BM25 = r"""WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
-post AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM docs) GROUP BY ALL),
+_BM25 = r"""WITH docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+post AS MATERIALIZED (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM docs) GROUP BY ALL),
 corpus AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs),
-raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM post, corpus GROUP BY term, n),
+raw AS MATERIALIZED (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM post, corpus GROUP BY term, n),
 terms AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw)"""
 
 
