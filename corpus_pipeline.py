@@ -15,8 +15,8 @@ TOXIC = 0.3
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 rows: texts are long, and a batch is held by the JVM and by the Python worker at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Arrow batches of 500 rows: texts are long, and a batch is held by the JVM and by the Python worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
 def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
