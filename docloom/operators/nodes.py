@@ -24,7 +24,7 @@ PLAIN, JOINED = ("Text", "Code"), ("Strong", "Emph", "Strikethrough", "Link", "C
 
 def parent() -> Column:
     """Path of a node's parent; empty for a top one."""
-    return F.slice("path", 1, F.size("path") - 1)
+    return F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0)))
 
 
 def _has_identity(attrs: Column) -> Column:

@@ -66,7 +66,7 @@ def search_with_mirrors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH p AS (SELECT page_id, regexp_replace(url, '^[^:]*://', '') AS path FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(path, '(^|/)de(/|$)') AND NOT regexp_matches(path, '^[^/]*net/de/[^/]*$') THEN true WHEN regexp_matches(path, '^[^/]*[.]com/') THEN true ELSE false END AS ignored FROM p"""
+SELECT page_id, CASE WHEN regexp_matches(path, '(^|/)de(/|$)') AND NOT regexp_matches(path, '^[^/]*net/de/[^/]+(/.*)?$') THEN true WHEN regexp_matches(path, '^[^/]*[.]com/') THEN true ELSE false END AS ignored FROM p"""
 )
 def ignored_paths(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[^:]*://", "").alias("path"))
