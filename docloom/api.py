@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as fn
 from docloom.operators import ignore, mirrors, reconcile, review, rules
 from docloom.operators import search as lines
+from docloom.operators.store import stored
 from docloom.sources import files
 
 
@@ -31,14 +32,19 @@ def search(spark: SparkSession, query: str, roots: list[dict], patterns: dict[st
     return lines.total_limit(found, limit, "path")
 
 
-def review_report(docs: DataFrame, model: review.Model, modes: list[str], scope: str, date: str, now: Column, days: int, instructions: dict[str, str], k: int = 5) -> DataFrame:
-    """One row with the report of the modes (duplicates, inconsistencies, stale) over documents (path, text)."""
-    runs = {
-        "duplicates": lambda: review.duplicates(docs, model, instructions["duplicates"], k=k),
-        "inconsistencies": lambda: review.inconsistencies(docs, model, instructions["inconsistencies"], k=k),
-        "stale": lambda: review.stale_pages(docs, model, instructions["stale"], now, days),
+def review_report(docs: DataFrame, model: review.Model, modes: list[str], scope: str, date: str, now: Column, days: int, instructions: dict[str, str], k: int = 5, cache: review.Cache = None) -> DataFrame:
+    """One row with the report of the modes (duplicates, inconsistencies, stale) over documents (path, text), and the run's counts.
+
+    With an ``AnswerStore`` as cache answers are kept as they come, and a second run asks nothing.
+    """
+    asked = {
+        "duplicates": lambda: review.judged_duplicates(docs, model, instructions["duplicates"], k=k, cache=cache),
+        "inconsistencies": lambda: review.judged_duplicates(docs, model, instructions["inconsistencies"], k=k, least=0.0, cache=cache),
+        "stale": lambda: review.judged_stale(docs, model, instructions["stale"], now, days, cache=cache),
     }
-    return review.report_text({mode: runs[mode]() for mode in modes}, scope, date, {})
+    found = {"duplicates": review.duplicate_findings, "inconsistencies": review.inconsistency_findings, "stale": review.stale_findings}
+    answers = {mode: stored(asked[mode](), "review-answers") for mode in modes}
+    return review.report_text({mode: found[mode](rows) for mode, rows in answers.items()}, scope, date, review.ask_counts(list(answers.values())))
 
 
 def index(docs: DataFrame, model: review.Model, instruction: str, clustered: bool = False) -> DataFrame:

@@ -1,18 +1,17 @@
-"""BM25 similarity: corpus statistics, and query documents scored in blocks against all documents."""
+"""BM25 similarity over a stored inverted index: corpus statistics, best documents by pruned search, best pairs."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .search import top_per_group
+from .store import stored
 
 # The usual Okapi parameters, what is cut from a text before it is split into words, and what a word is.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -20,132 +19,170 @@ FRONTMATTER = r"(?s)\A---\n.*?\n---\n?"
 FENCES = r"(?sm)^(`{3,}|~{3,})[^\n]*\n.*?\n\1[ \t]*$"
 WORD = r"[\p{L}\p{N}_]+"
 
+#: Levels of weight that a term's postings are cut into, and about how many postings of one level a block holds.
+LEVELS, BLOCK = 16, 4096
+#: Postings of its rarest terms that give a query its first candidates, and how many of these are scored in full.
+SEEDS, FIRST = 2000, 8
+#: Share of the bound that terms may add in postings that aren't read.
+SHARE = 0.05
+#: Scores are rounded to so many decimals before they are compared.
+DECIMALS = 6
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters, digits and underscores, without a leading frontmatter and fenced blocks."""
-    body = F.regexp_replace(F.regexp_replace(text, FRONTMATTER, ""), FENCES, "")
+    body = F.when(F.startswith(text, F.lit("---\n")), F.regexp_replace(text, FRONTMATTER, "")).otherwise(text)
+    body = F.when(F.contains(body, F.lit("```")) | F.contains(body, F.lit("~~~")), F.regexp_replace(body, FENCES, "")).otherwise(body)
     return F.regexp_extract_all(F.lower(body), F.lit(WORD), F.lit(0))
 
 
-def _words(text: str | None) -> list[str]:
-    text = text or ""
-    if text.startswith("---\n"):
-        text = re.sub(FRONTMATTER, "", text)
-    if "```" in text or "~~~" in text:
-        text = re.sub(FENCES, "", text)
-    return re.findall(r"\w+", text.lower())
-
-
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, dl (words of the document): a row for each term of a document, and one of a null term.
-
-    A document is counted where it is read, so nothing is shuffled. A null text has no words.
-    """
+def _idf(df: DataFrame, n: int) -> DataFrame:
+    """Terms with their idf, from df (columns term, df) of n documents: a negative one becomes a share of the mean idf."""
+    raw = df.withColumn("idf", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("idf")).first()[0] or 0.0
+    return raw.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, term, tf, dl = [], [], [], []
-            for k, x in enumerate(batch.column(1).to_pylist()):
-                words = _words(x)
-                own = Counter(words)
-                term += [None, *own]
-                tf += [0, *own.values()]
-                row += [k] * (len(own) + 1)
-                dl += [len(words)] * (len(own) + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(term, pa.string()), pa.array(tf, pa.int64()), pa.array(dl, pa.int64())], [key, "term", "tf", "dl"])
 
-    schema = T.StructType([docs.schema[key], *[T.StructField(n, t) for n, t in (("term", T.StringType()), ("tf", T.LongType()), ("dl", T.LongType()))]])
-    return docs.select(key, text).mapInArrow(count, schema)
+def terms(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Terms (term, idf) of a collection. A term in over half the documents has a share of the mean idf instead of its own."""
+    words = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    df = stored(words.groupBy("term").agg(F.count("*").alias("df")), "bm25-df")
+    return _idf(df, docs.count()).select("term", "idf")
 
 
-def statistics(docs: DataFrame, post: DataFrame, text: str = "text") -> tuple[DataFrame, float]:
-    """Terms (term, idf) and the mean length of documents.
+@dataclass
+class Index:
+    """A stored collection: documents (d, key), terms (t, term, idf, top), postings (t, level, sub, d, w) and blocks of them.
 
-    A term in over half the documents has a negative idf; it gets a share of the mean idf instead. The number and
-    mean length of documents and the mean idf are three numbers, put into the plan as constants.
+    w is what a term adds to a document's score, but for its idf and its count in the query. Postings are dealt by
+    term, level of w, and within a level by blocks, so no frequent term is in one place; blocks have their greatest w.
     """
-    size = post.where("term is null").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).first()
-    df = post.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.select("term", (F.log(F.lit(size.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = raw.agg(F.avg("idf")).first()[0] or 0.0
-    return raw.select("term", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")).alias("idf")), float(size.avgdl)
 
+    documents: DataFrame
+    terms: DataFrame
+    postings: DataFrame
+    blocks: DataFrame
+    least_idf: float
+
+
+def index(docs: DataFrame, key: str = "doc_id", text: str = "text", pool: DataFrame | None = None) -> Index:
+    """Read a collection once and store it by terms. ``pool`` keeps postings of its keys only; statistics are of all documents."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("d"), F.col(key).alias("key"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
+    kept = stored(numbered, "bm25-words")
+    size = kept.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("words")), F.lit(0.0)).alias("mean")).first()
+    each = kept.select("d", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    counts = stored(each.groupBy("d", "dl", "term").agg(F.count("*").alias("tf")), "bm25-counts")
+    df = stored(counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("t", F.monotonically_increasing_id()), "bm25-df")
+    known = _idf(df, size["n"])
+    documents = stored(kept.select("d", "key").join(pool.select(F.col(key).alias("key")).distinct(), "key", "left_semi") if pool is not None else kept.select("d", "key"), "bm25-documents")
+    near = K1 * (1 - B + B * F.col("dl") / F.lit(float(size["mean"] or 1.0)))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + near)
+    level = F.least(F.floor(weight * LEVELS / (K1 + 1)), F.lit(LEVELS - 1)).cast("int")
+    sub = F.pmod(F.xxhash64("d"), F.ceil(F.col("df") / BLOCK)).cast("int")
+    held = counts if pool is None else counts.join(documents.select("d"), "d", "left_semi")
+    postings = stored(held.join(df, "term").select("t", level.alias("level"), sub.alias("sub"), "d", weight.alias("w")), "bm25-postings")
+    blocks = stored(postings.groupBy("t", "level", "sub").agg(F.max("w").alias("top"), F.count("*").alias("n")), "bm25-blocks")
+    tops = blocks.groupBy("t").agg(F.max("top").alias("top"), F.sum("n").alias("n"))
+    found = stored(known.join(tops, "t").select("t", "term", "idf", "top", "n"), "bm25-terms")
+    least = found.agg(F.min("idf")).first()[0]
+    return Index(documents, found, postings, blocks, 0.0 if least is None else least)
+
+
+def _vectors(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """A row for each of ``by`` with its terms, ascending, and their values: as long as the text has distinct words."""
+    lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).alias("x")))).alias("s"))
+    return lists.select(by, F.transform("s", lambda s: s["t"]).alias(f"{name}_t"), F.transform("s", lambda s: s["x"]).alias(f"{name}_x"))
+
+
+def _scored(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """q, d and score of each pair: the sum over the terms that both have, found by a merge of their sorted terms."""
+    pairs = stored(pairs.select("q", "d"), "bm25-pairs")
+    written = _vectors(postings.join(pairs.select("d").distinct(), "d", "left_semi"), "d", "w", "d")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.zeros(batch.num_rows)
+            parts = [(c.offsets.to_numpy(), c.flatten().to_numpy(zero_copy_only=False)) for c in batch.columns[2:]]
+            for i in range(batch.num_rows):
+                qt, qx, dt, dx = (flat[at[i] - at[0] : at[i + 1] - at[0]] for at, flat in parts)
+                place = np.searchsorted(dt, qt)
+                place[place == len(dt)] = 0
+                hit = dt[place] == qt if len(dt) else np.zeros(len(qt), dtype=bool)
+                score[i] = float((qx[hit] * dx[place[hit]]).sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score.round(DECIMALS))], ["q", "d", "score"])
+
+    joined = pairs.join(asked, "q").join(written, "d").select("q", "d", "q_t", "q_x", "d_t", "d_x")
+    return joined.mapInArrow(run, "q long, d long, score double")
 
-def _scored(block: list, docs: DataFrame, key: str, text: str, idf: dict[str, float], avgdl: float, k: int, itself: bool) -> DataFrame:
-    """The best k documents of each task for each query of a block: row of the query, key of the document, score."""
-    number = {t: i for i, t in enumerate(idf)}
-    entries = sorted((number[t], q, n * idf[t]) for q, (_, words) in enumerate(block) for t, n in Counter(words).items() if t in number)
-    term, query, weight = (np.array(x) for x in zip(*entries)) if entries else (np.zeros(0, dtype=int),) * 3
-    first = np.searchsorted(term, np.arange(len(number) + 1))
-    ids = [q for q, _ in block]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, list, np.ndarray]] = []
-        kind = None
-        for batch in batches:
-            kind = batch.column(0).type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keys = part.column(0).to_pylist()
-                row, t, w = [], [], []
-                for r, x in enumerate(part.column(1).to_pylist()):
-                    words = _words(x)
-                    near = K1 * (1 - B + B * len(words) / avgdl) if avgdl else 1.0
-                    for name, n in Counter(words).items():
-                        if name in number:
-                            row.append(r)
-                            t.append(number[name])
-                            w.append(n * (K1 + 1) / (n + near))
-                row, t, w = np.array(row, dtype=int), np.array(t, dtype=int), np.array(w)
-                many = first[t + 1] - first[t]
-                each = np.repeat(first[t] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-                sums = np.bincount(query[each].astype(int) * len(keys) + np.repeat(row, many), weight[each] * np.repeat(w, many), len(ids) * len(keys)).reshape(len(ids), -1)
-                for q in range(len(ids)):
-                    own = sums[q].round(6)
-                    if itself:
-                        own = np.where([x == ids[q] for x in keys], -np.inf, own)
-                    # Of equal scores all stay until the last, so that ties go by key.
-                    least = np.partition(own, -k)[-k] if len(own) > k else -np.inf
-                    some = np.flatnonzero((own >= least) & (own > -np.inf))
-                    best.append((np.full(len(some), q), [keys[i] for i in some], own[some]))
-        if best:
-            q, s = np.concatenate([b[0] for b in best]), np.concatenate([b[2] for b in best])
-            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array([x for b in best for x in b[1]], kind), pa.array(s)], ["query", key, "score"])
-
-    schema = T.StructType([T.StructField("query", T.LongType()), docs.schema[key], T.StructField("score", T.DoubleType())])
-    return docs.select(key, text).mapInArrow(score, schema)
-
-
-def top_k(queries: DataFrame, docs: DataFrame, k: int = 5, query_key: str = "item_id", query_text: str = "text", key: str = "doc_id", text: str = "text", pool: DataFrame | None = None, itself: bool = False, block: int = 256) -> DataFrame:
+def top_k(queries: DataFrame, docs: DataFrame, k: int = 5, query_key: str = "item_id", query_text: str = "text", key: str = "doc_id", text: str = "text", pool: DataFrame | None = None, itself: bool = False) -> DataFrame:
     """For each query text the k best documents: query_key, key, score (6 decimals), rank; ties by key.
 
     Each query word counts as often as it stands in the query; documents without any of them score 0 and count too.
     ``pool`` keeps only documents whose keys it has (statistics are of all); ``itself`` leaves out the document of
-    the query's own key. Queries go out in blocks, each one pass over the documents in which tasks keep their best
-    k: the work is queries times documents, the rows that move are queries times k for each batch of 256.
+    the query's own key. Keys are not null and differ. A null text has no words.
+
+    The result is exact. A query's rarest terms give first candidates; the k-th best of their scores bounds what a
+    document must reach. Terms are then taken from the least that they can add for each posting: as long as all together stay below a
+    share of the bound they are left out, of the next one only blocks and postings above what is left are read, and of
+    the rest all. A document whose postings that were read, with all that was not, can't reach the bound is out; the others
+    are scored in full. No query text, score or posting goes through the driver, and the plan is the
+    same for any number of queries. With negative idfs (small collections) nothing is pruned.
+    """
+    kept = index(docs, key, text, pool)
+    words = queries.select(F.monotonically_increasing_id().alias("q"), F.col(query_key).alias("query"), tokens(F.col(query_text)).alias("words"))
+    asks = stored(words, "bm25-queries")
+    own = asks.select("q", F.explode("words").alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
+    own = own.join(kept.terms, "term").select("q", "t", (F.col("qtf") * F.col("idf")).alias("c"), (F.col("qtf") * F.col("idf") * F.col("top")).alias("u"), "n")
+    own = stored(own, "bm25-asked")
+    asked = stored(_vectors(own, "q", "c", "q"), "bm25-query-vectors")
+    selves = asks.join(kept.documents, asks["query"] == kept.documents["key"]).select("q", "d") if itself else None
+    others = lambda pairs: pairs.join(selves, ["q", "d"], "left_anti") if itself else pairs
+
+    if kept.least_idf >= 0:
+        rare = Window.partitionBy("q").orderBy("n", "t").rowsBetween(Window.unboundedPreceding, 0)
+        few = own.withColumn("so_far", F.sum("n").over(rare)).where(F.col("so_far") <= SEEDS)
+        met = few.join(kept.postings, "t").groupBy("q", "d").agg(F.sum(F.col("c") * F.col("w")).alias("part"))
+        first = top_per_group(others(met), "q", [F.desc("part"), F.col("d")], max(FIRST, k))
+        scores = _scored(first, asked, kept.postings)
+        bound = top_per_group(scores, "q", [F.desc("score"), F.col("d")], k).where(F.col("rank") == k).select("q", F.col("score").alias("bound"))
+    else:
+        bound = asks.select("q", F.lit(None).cast("double").alias("bound")).limit(0)
+    # What rounding can hide stays on the safe side of the bound.
+    bound = stored(bound.select("q", (F.col("bound") - 2 * 10.0**-DECIMALS).alias("bound")), "bm25-bounds")
+
+    rising = Window.partitionBy("q").orderBy(F.col("u") / F.col("n"), "t").rowsBetween(Window.unboundedPreceding, -1)
+    spare = F.coalesce(F.col("bound") * SHARE - F.coalesce(F.sum("u").over(rising), F.lit(0.0)), F.lit(0.0))
+    cut = own.join(bound, "q", "left").withColumn("spare", spare)
+    # What a term may add in postings that aren't read: all of it, what is left of the share, or nothing.
+    cut = stored(cut.withColumn("unread", F.when(F.col("spare") > 0, F.least("spare", "u")).otherwise(0.0)), "bm25-cut")
+    unread = cut.groupBy("q").agg(F.sum("unread").alias("unread"))
+    above = F.when(F.col("c") > 0, F.col("unread") / F.col("c")).otherwise(0.0)
+    there = cut.where("unread < u or u <= 0").select("q", "t", "c", above.alias("above")).join(kept.blocks, "t").where("top >= above").select("q", "t", "level", "sub", "c", "above")
+    met = there.join(kept.postings, ["t", "level", "sub"]).where("w >= above").groupBy("q", "d").agg(F.sum(F.col("c") * F.col("w")).alias("part"))
+    limits = bound.join(unread, "q").select("q", (F.col("bound") - F.col("unread") - 1e-6).alias("least"))
+    alive = others(met.join(limits, "q", "left").where("least is null or part >= least"))
+    scores = stored(_scored(alive, asked, kept.postings), "bm25-scores")
+    return _ranked(scores, kept.documents, asks, others, k, query_key if query_key != key else f"{key}_query", key)
+
+
+def _ranked(scores: DataFrame, documents: DataFrame, asks: DataFrame, others, k: int, query_name: str, key: str) -> DataFrame:
+    """The k best of each query, filled up with documents that share no term with it (score 0, by key).
+
+    A query with fewer than k scores of 0 or more gets fillers; its scored documents aside, the first keys will do.
     """
-    terms, avgdl = statistics(docs, postings(docs, key, text))
-    kind = queries.schema[query_key].dataType
-    ordered = queries.select(query_key, query_text).orderBy(query_key).toLocalIterator()
-    pool = docs if pool is None else docs.join(pool.select(key).distinct(), key, "left_semi")
-    out, held = None, []
-
-    def add(out: DataFrame | None, held: list) -> DataFrame:
-        spark = docs.sparkSession
-        wanted = spark.createDataFrame(pa.table({"term": sorted({t for _, words in held for t in words})}, schema=pa.schema([("term", pa.string())])))
-        idf = {r.term: r.idf for r in terms.join(F.broadcast(wanted), "term").toLocalIterator()}  # terms of one block
-        found = top_per_group(_scored(held, pool, key, text, idf, avgdl, k, itself), "query", [F.desc("score"), F.col(key)], k)
-        names = F.array(*[F.lit(q) for q, _ in held])
-        found = found.select(F.get(names, F.col("query").cast("int")).cast(kind).alias("_query"), key, "score", F.col("rank").cast("long").alias("rank"))
-        return found if out is None else out.unionByName(found)
-
-    for r in ordered:
-        held.append((r[0], _words(r[1])))
-        if len(held) == block:
-            out, held = add(out, held), []
-    if held or out is None:
-        out = add(out, held) if held else pool.select(F.lit(None).cast(kind).alias("_query"), key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
-    return out.select(F.col("_query").alias(query_key if query_key != key else f"{key}_query"), key, "score", "rank")
+    good = scores.where("score >= 0").groupBy("q").agg(F.count("*").alias("good"))
+    all_scored = scores.groupBy("q").agg(F.count("*").alias("scored"))
+    lacking = stored(asks.select("q").join(good, "q", "left").join(all_scored, "q", "left").where(F.coalesce("good", F.lit(0)) < k).select("q", F.coalesce("scored", F.lit(0)).alias("scored")), "bm25-lacking")
+    most = lacking.agg(F.max("scored")).first()[0]
+    found = scores.join(documents, "d")
+    if most is not None:
+        first = documents.orderBy("key").limit(int(most) + k + 1).agg(F.collect_list("d").alias("ds"))
+        fill = lacking.select("q", F.explode(F.lit(first.first()[0])).alias("d")) if documents.head(1) else lacking.select("q", F.col("q").alias("d")).limit(0)
+        fill = others(fill).join(scores.select("q", "d"), ["q", "d"], "left_anti").join(documents, "d")
+        found = found.select("q", "d", "score", "key").unionByName(fill.select("q", "d", F.lit(0.0).alias("score"), "key"))
+    best = top_per_group(found, "q", [F.desc("score"), F.col("key")], k)
+    return best.join(asks.select("q", "query"), "q").select(F.col("query").alias(query_name), F.col("key").alias(key), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def top_k_pairs(docs: DataFrame, k: int = 5, least: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import lines as ln
 
+from .store import stored
+
 # Keys that make a node an anchor, kinds of callouts, attributes that say nothing, kinds of text blocks.
 IDENTITY = ("ac:local-id", "ac:macro-id", "local-id")
 CALLOUTS = "tip|note|warning|info|panel"
@@ -126,10 +128,14 @@ def sort_attrs(nodes: DataFrame) -> DataFrame:
 PASSES: tuple[Callable[[DataFrame], DataFrame], ...] = (collapse_soft_breaks, tighten_lists, default_ordered_start, normalise_entities, normalise_whitespace, drop_empty_paragraphs, attach_callout_kind, dedupe_attrs, sort_attrs)
 
 
+#: Passes that read the nodes several times; what goes into each is stored, so that the plan doesn't grow with the passes.
+WIDE = (tighten_lists, normalise_whitespace, drop_empty_paragraphs, attach_callout_kind)
+
+
 def normalise(nodes: DataFrame) -> DataFrame:
     """All passes, one after the other."""
     for step in PASSES:
-        nodes = step(nodes)
+        nodes = step(stored(nodes, "nodes") if step in WIDE else nodes)
     return nodes
 
 

@@ -2,47 +2,67 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.functions import frontmatter as fm
 from docloom.functions import lines as ln
 from docloom.functions import text as fn
 
 from . import bm25, rules
+from .answers import AnswerStore
 from .search import top_per_group
+from .store import stored
 
 #: A model: a list of prompts to as many answers; it runs in tasks, a batch at a time.
 Model = Callable[[list[str]], list[str]]
 
 
-def ask(rows: DataFrame, model: Model, prompt: str = "prompt", answer: str = "answer", cache: DataFrame | None = None) -> DataFrame:
-    """Add the model's answer to each row's prompt and ``cached``; a prompt in the cache (prompt_hash, answer) isn't asked.
+def ask(rows: DataFrame, model: Model, prompt: str = "prompt", answer: str = "answer", cache: DataFrame | AnswerStore | None = None) -> DataFrame:
+    """Add the model's answer to each row's prompt, ``cached``, and ``error``: why there is no answer, else null.
 
-    Equal prompts are asked once. A model that fails on a batch gives null answers for it.
+    Equal prompts are asked once. A prompt in the cache (prompt_hash, answer) isn't asked; an ``AnswerStore`` also keeps
+    the new answers, so that a second run asks nothing. A model that fails on a batch gives null answers and its
+    error for the whole batch; these aren't kept. Each prompt is asked once in a job: answers are stored as they come.
     """
 
-    @F.pandas_udf(T.StringType())
-    def call(prompts: pd.Series) -> pd.Series:
+    @F.pandas_udf("answer string, error string")
+    def call(prompts: pd.Series) -> pd.DataFrame:
         try:
-            return pd.Series(model(prompts.tolist()), dtype=object)
-        except Exception:  # noqa: BLE001  an answer that can't be had is null
-            return pd.Series([None] * len(prompts), dtype=object)
+            got = list(model(prompts.tolist()))
+            if len(got) != len(prompts):
+                raise ValueError(f"{len(got)} answers to {len(prompts)} prompts")
+            return pd.DataFrame({"answer": got, "error": [None if x is not None else "no answer" for x in got]}, dtype=object)
+        except Exception as error:  # noqa: BLE001  any error of a model is that of its batch
+            return pd.DataFrame({"answer": [None] * len(prompts), "error": [f"{type(error).__name__}: {error}"] * len(prompts)}, dtype=object)
 
     keyed = rows.withColumn("_hash", F.sha2(F.col(prompt).cast("binary"), 256))
     distinct = keyed.select("_hash", F.col(prompt).alias("_prompt")).dropDuplicates(["_hash"])
-    if cache is not None:
-        known = cache.select(F.col("prompt_hash").alias("_hash"), F.col("answer").alias("_known")).where("_known is not null").dropDuplicates(["_hash"])
-        distinct = distinct.join(known, "_hash", "left")
+    own = isinstance(cache, AnswerStore)
+    entries = cache.entries() if own else cache
+    if entries is not None:
+        known = entries.select(F.col("prompt_hash").alias("_hash"), F.col("answer").alias("_known")).where("_known is not null").dropDuplicates(["_hash"])
+        distinct = stored(distinct.join(known, "_hash", "left"), "prompts")
     else:
         distinct = distinct.withColumn("_known", F.lit(None).cast("string"))
-    new = distinct.where("_known is null").select("_hash", call("_prompt").alias(answer), F.lit(False).alias("cached"))
-    old = distinct.where("_known is not null").select("_hash", F.col("_known").alias(answer), F.lit(True).alias("cached"))
-    return keyed.join(new.unionByName(old), "_hash").drop("_hash")
+    new = stored(distinct.where("_known is null").select("_hash", call("_prompt").alias("_a")).select("_hash", F.col("_a.answer").alias(answer), F.lit(False).alias("cached"), F.col("_a.error").alias("error")), "answers")
+    if own:
+        cache.put(new.select(F.col("_hash").alias("prompt_hash"), F.col(answer).alias("answer")))
+    old = distinct.where("_known is not null").select("_hash", F.col("_known").alias(answer), F.lit(True).alias("cached"), F.lit(None).cast("string").alias("error"))
+    return keyed.drop("error").join(new.unionByName(old), "_hash").drop("_hash")
+
+
+def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "text", out: str = "embedding", cache: DataFrame | AnswerStore | None = None) -> DataFrame:
+    """Add a model's vector for each row's text, ``cached`` and ``error``, by ``ask``; vectors are kept as JSON texts.
+
+    Prompts and texts are hashed alike: give embeddings a store of their own.
+    """
+    asked = ask(rows, lambda texts: [json.dumps(list(map(float, v))) for v in model(texts)], text, "_vector", cache)
+    return asked.withColumn(out, F.from_json("_vector", "array<double>")).drop("_vector")
 
 
 def json_object(raw: Column) -> Column:
@@ -91,18 +111,26 @@ def pair_prompts(pairs: DataFrame, docs: DataFrame, instruction: str, key: str =
     return both.select("a", "b", "score", prompt.alias("prompt"))
 
 
-def duplicates(docs: DataFrame, model: Model, instruction: str, key: str = "path", text: str = "text", k: int = 5, least: float = 0.85, cache: DataFrame | None = None) -> DataFrame:
+Cache = DataFrame | AnswerStore | None
+
+
+def judged_duplicates(docs: DataFrame, model: Model, instruction: str, key: str = "path", text: str = "text", k: int = 5, least: float = 0.85, cache: Cache = None) -> DataFrame:
+    """The model's answers on pairs whose BM25 score is ``least`` or more."""
+    return ask(pair_prompts(bm25.top_k_pairs(docs, k, least, key, text), docs, instruction, key, text), model, cache=cache)
+
+
+def duplicates(docs: DataFrame, model: Model, instruction: str, key: str = "path", text: str = "text", k: int = 5, least: float = 0.85, cache: Cache = None) -> DataFrame:
     """Findings of documents that the model calls duplicates, of the pairs whose BM25 score is ``least`` or more."""
-    return duplicate_findings(ask(pair_prompts(bm25.top_k_pairs(docs, k, least, key, text), docs, instruction, key, text), model, cache=cache))
+    return duplicate_findings(judged_duplicates(docs, model, instruction, key, text, k, least, cache))
 
 
-def inconsistencies(docs: DataFrame, model: Model, instruction: str, key: str = "path", text: str = "text", k: int = 5, cache: DataFrame | None = None) -> DataFrame:
+def inconsistencies(docs: DataFrame, model: Model, instruction: str, key: str = "path", text: str = "text", k: int = 5, cache: Cache = None) -> DataFrame:
     """Findings of contradictions between each document and its best neighbours, those of score 0 included."""
-    return inconsistency_findings(ask(pair_prompts(bm25.top_k_pairs(docs, k, 0.0, key, text), docs, instruction, key, text), model, cache=cache))
+    return inconsistency_findings(judged_duplicates(docs, model, instruction, key, text, k, 0.0, cache))
 
 
-def stale_pages(docs: DataFrame, model: Model, instruction: str, now: Column, days: int, key: str = "path", text: str = "text", k: int = 3, cache: DataFrame | None = None) -> DataFrame:
-    """Findings of old documents that one of their best newer neighbours supersedes. Undated documents count as newer."""
+def judged_stale(docs: DataFrame, model: Model, instruction: str, now: Column, days: int, key: str = "path", text: str = "text", k: int = 3, cache: Cache = None) -> DataFrame:
+    """The model's answers on old documents and their best newer neighbours. Undated documents count as newer."""
     dated = docs.select(key, text, fm.updated_at(F.col(text), fm.frontmatter(F.col(text))).alias("_date"))
     old, newer = rules.partition_stale(dated, F.col("_date"), now, days)
     near = bm25.top_k(old, docs, k, key, text, key, text, pool=newer)
@@ -113,7 +141,21 @@ def stale_pages(docs: DataFrame, model: Model, instruction: str, now: Column, da
     each = F.array_join(F.transform("items", lambda s: F.concat(F.lit("\n\n## "), s["path"].cast("string"), F.lit("\n"), s["body"])), "")
     prompt = F.concat(F.lit(instruction + "\n\n# "), F.col("path").cast("string"), F.lit("\n"), "_own", each)
     rows = own.join(lists, "path").select("path", "last_updated", F.transform("items", lambda s: s["path"].cast("string")).alias("newer"), prompt.alias("prompt"))
-    return stale_findings(ask(rows, model, cache=cache))
+    return ask(rows, model, cache=cache)
+
+
+def stale_pages(docs: DataFrame, model: Model, instruction: str, now: Column, days: int, key: str = "path", text: str = "text", k: int = 3, cache: Cache = None) -> DataFrame:
+    """Findings of old documents that one of their best newer neighbours supersedes. Undated documents count as newer."""
+    return stale_findings(judged_stale(docs, model, instruction, now, days, key, text, k, cache))
+
+
+def ask_counts(answers: list[DataFrame]) -> dict[str, int]:
+    """Of all answers of a run: pairs (rows that were judged), calls (distinct prompts that were asked), cached and errors (rows)."""
+    total = {"pairs": 0, "calls": 0, "cached": 0, "errors": 0}
+    for rows in answers:
+        one = rows.agg(F.count("*").alias("pairs"), F.count_distinct(F.when(~F.col("cached"), F.col("prompt"))).alias("calls"), F.count_if("cached").alias("cached"), F.count_if(F.col("error").isNotNull()).alias("errors")).first()
+        total = {k: n + one[k] for k, n in total.items()}
+    return total
 
 
 def rewrites(docs: DataFrame, model: Model, instruction: str, key: str = "path", text: str = "text") -> DataFrame:

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import stored
+
 _ORDER = "array<struct<last:boolean,position:int,title:string>>"
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Run a plan once and go on from its checkpoint, where a folder for these is set; else from a stored copy."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+    """Run a plan once and go on from its table in the shared folder."""
+    return stored(df, "trees")
 
 
 def page_paths(spark: SparkSession, nodes: DataFrame, position: str | None = None) -> DataFrame:

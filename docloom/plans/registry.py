@@ -76,11 +76,14 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return bm25.top_k(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
-@query(_BM25 + " SELECT term, round(idf, 9) AS idf FROM terms")
+@query(
+    r"""WITH df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS term FROM documents) GROUP BY term),
+raw AS MATERIALIZED (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, (SELECT count(*) AS n FROM documents)),
+mean AS (SELECT avg(idf) AS m FROM raw)
+SELECT term, round(CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END, 9) AS idf FROM raw, mean"""
+)
 def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    terms, _ = bm25.statistics(docs, bm25.postings(docs, "doc_id", "text"))
-    return terms.select("term", F.round("idf", 9).alias("idf"))
+    return bm25.terms(table(spark, d, "documents")).select("term", F.round("idf", 9).alias("idf"))
 
 
 @query("SELECT sha256(text) AS body_hash, count(*) AS n_docs, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")

@@ -100,7 +100,7 @@ def test_bm25_against_plain_python(spark):
         count = Counter(words[d])
         return round(sum(idf[w] * count[w] * 2.5 / (count[w] + 1.5 * (0.25 + 0.75 * len(words[d]) / mean)) for w in words[q]), 6)
 
-    got = bm25.top_k(docs, docs, 2, "doc_id", "text", itself=True, block=4).collect()
+    got = bm25.top_k(docs, docs, 2, "doc_id", "text", itself=True).collect()
     for q in range(n):
         want = sorted(((-score(q, d), d) for d in range(n) if d != q))[:2]
         assert [(r.doc_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.doc_id_query == q] == [(d, -s) for s, d in want]
