@@ -40,6 +40,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing is read from them any more; other frames are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        top = shared_dir(spark).removeprefix("file://").rstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if top and folder.removeprefix("file://").removeprefix("file:").startswith(top + "/"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, modulo 4 (null for a null id)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, slices, stored
-from .graph import connected_components, pairs, run_starts, whole_runs
+from .common import discard, map_rows, slices, stored
+from .graph import connected_components, in_blocks, pairs, run_starts, whole_runs
 from .words import NOT_BLANK, grams, words
 
 #: Which pairs of prints (rows of segments) may belong to similar sets, and by how many bits they differ.
 Near = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 #: Bits of a shingle's place in the table of frequencies, and places that travel in one row.
 PLACES, CHUNK = 20, 1 << 14
+#: From so many occurrences on, a shingle's sets are dealt out to several tasks.
+HOT = 1 << 16
 
 
 def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -53,15 +55,19 @@ def with_set_id(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     return map_rows(docs, [T.StructField("_set", T.LongType())], make)
 
 
-def set_ids(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """_id and _set of every row; the texts don't come back from the tasks' workers."""
+def set_ids(docs: DataFrame, doc_id: str, text: str, shingle: int, print_of: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """_id, _set and print of every row; the texts don't come back from the tasks' workers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _signed([_set_id(x) for x in _parts(batch, text, shingle)])], ["_id", "_set"])
+            ids, prints = [], []
+            for x in _parts(batch, text, shingle):
+                ids.append(_set_id(x))
+                prints.append(print_of(x))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(ids), pa.array(prints, pa.binary())], ["_id", "_set", "print"])
             pa.default_memory_pool().release_unused()
 
-    schema = T.StructType([T.StructField("_id", docs.schema[doc_id].dataType), T.StructField("_set", T.LongType())])
+    schema = T.StructType([T.StructField("_id", docs.schema[doc_id].dataType), T.StructField("_set", T.LongType()), T.StructField("print", T.BinaryType())])
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
@@ -96,13 +102,18 @@ def _least_overlap(a, b, least: float):
 
 
 def _prefixes(docs: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
-    """Rows (key, id, size): each set's rarest shingles, so many that similar sets have one of them in common; size holds the key's place above 32 bits."""
-    common = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, text, shingle))
+    """Rows (key, id, size, salt): each set's rarest shingles, so many that similar sets have one of them in common.
+
+    size holds the key's place above 32 bits. salt is 0; where a shingle's place in the table of frequencies has more
+    than ``HOT`` occurrences (and 64 times as many as most), it deals the key's sets out to parts of about so many, from 1 on.
+    """
+    counts = _frequencies(docs, text, shingle)
+    common, hot = docs.sparkSession.sparkContext.broadcast(counts), max(HOT, int(64 * counts.mean()))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task deals each set once, so copies cost nothing more
         for batch in batches:
-            key, ids, size = [np.zeros(0, dtype=np.uint64)], [], []
+            key, ids, size, salt = [np.zeros(0, dtype=np.uint64)], [], [], [np.zeros(0, dtype=np.int32)]
             for x in _parts(batch, text, shingle):
                 n = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1 if len(x) else 0
                 own = _set_id(x)
@@ -110,39 +121,66 @@ def _prefixes(docs: DataFrame, text: str, shingle: int, least: float) -> DataFra
                     continue
                 seen.add(own)
                 # Any order of all shingles will do; by frequency, prefixes of unlike sets seldom meet.
-                key.append(x[np.argsort(common.value[x >> np.uint64(64 - PLACES)], kind="stable")[:n]])
+                often = common.value[x >> np.uint64(64 - PLACES)]
+                first = np.argsort(often, kind="stable")[:n]
+                key.append(x[first])
+                parts = often[first] // hot + 1
+                salt.append(np.where(parts > 1, 1 + (own >> 7) % parts, 0).astype(np.int32))
                 ids.append(np.full(n, own, dtype=np.uint64))
                 size.append(np.arange(n, dtype=np.int64) << 32 | len(x))
-            columns = [np.concatenate(key).view(np.int64), np.concatenate([key[0], *ids]).view(np.int64), np.concatenate([np.zeros(0, dtype=np.int64), *size])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "size"])
-
-    return docs.select(text).mapInArrow(deal, "key long, id long, size long")
+            columns = [np.concatenate(key).view(np.int64), np.concatenate([key[0], *ids]).view(np.int64), np.concatenate([np.zeros(0, dtype=np.int64), *size]), np.concatenate(salt)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "size", "salt"])
 
+    return docs.select(text).mapInArrow(deal, "key long, id long, size long, salt int")
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The distinct rows of keys that more than one set has."""
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, ["key"]):
-            table = table.take(run_starts(table, ["key", "id"]))
-            count = np.diff(np.append(run_starts(table, ["key"]), table.num_rows))
-            yield from table.filter(pa.array(np.repeat(count > 1, count))).to_batches()
-
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(pick, rows.schema)
+def _met(rows: DataFrame) -> DataFrame:
+    """The distinct rows (key, id, size) of keys that more than one set has; those of salted keys all stay.
 
+    A task holds a batch at a time, and of the one before its last row, so no key's rows need to fit in memory.
+    """
 
-def _candidates(rows: DataFrame, least: float, near: Near, small: int, turn: int | None, pivots: int = 16) -> DataFrame:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, met = None, False  # the last row so far, not given yet, and whether the one before it has its key
+        for batch in batches:
+            table = pa.Table.from_batches([*([last] if last is not None else []), batch])
+            if not table.num_rows:
+                continue
+            key, ids, salt = (table.column(c).to_numpy() for c in ("key", "id", "salt"))
+            same = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
+            new = np.append(True, ~(same & (ids[1:] == ids[:-1])))
+            table, key, salt = table.filter(pa.array(new)), key[new], salt[new]
+            same = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
+            good = np.append(met, same) | np.append(same, False) | (salt > 0)
+            yield from table.slice(0, len(key) - 1).filter(pa.array(good[:-1])).select(["key", "id", "size"]).to_batches()
+            last, met = table.slice(len(key) - 1).combine_chunks().to_batches()[0], bool(good[-1])
+        if last is not None and met:
+            yield last.select(["key", "id", "size"])
+
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "id").mapInArrow(pick, "key long, id long, size long")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of keys that more than one component has."""
+    ends = rows.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high")
+    return rows.join(ends.select("key"), "key", "left_semi")
+
+
+def _candidates(rows: DataFrame, least: float, near: Near | None, small: int, turn: int | None, pivots: int = 16, block: int = 4096) -> DataFrame:
     """Distinct pairs (a, b) of sets of one key, apart so far, near in size and in print, with enough left after the key.
 
     If a key is the first that two sets share, no shingle before it in either is common: what is left has to do. At
     later keys this is asked as well, for the pair has met before. With a turn, a set meets the first ``pivots`` sets
-    of its key only, others at each key, and is paired with the nearest of them.
+    of its key only, others at each key, and is paired with the nearest of them (b); a key of more than ``block`` sets is
+    cut into parts, others in each turn. Without one, any two sets of a key meet, in groups of two blocks.
     """
 
     def tried(i: np.ndarray, j: np.ndarray, size: np.ndarray, place: np.ndarray, component: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         new = (component[i] != component[j]) & (low >= np.ceil(least * high - 1e-9))
         new = np.flatnonzero(new & (np.minimum(size[i] - place[i], size[j] - place[j]) >= _least_overlap(low, high, least)))
+        if near is None:
+            return new, np.zeros(len(new), dtype=np.int32)
         good, apart = near(segments[i[new]], segments[j[new]])
         good |= low[new] < small
         return new[good], apart[good]
@@ -159,120 +197,108 @@ def _candidates(rows: DataFrame, least: float, near: Near, small: int, turn: int
         i = np.flatnonzero(best >= 0)
         yield i, best[i]
 
+    group = ["key", "part"] if turn is not None else ["key", "lo", "hi"]
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, ["key"]):
-            starts = run_starts(table, ["key"])
-            ids, packed, component = (table.column(c).to_numpy() for c in ("id", "size", "component"))
+        for table in whole_runs(batches, group):
+            starts = run_starts(table, group)
+            ids, packed, component, part = (table.column(c).to_numpy() for c in ("id", "size", "component", "part"))
             segments = np.frombuffer(b"".join(table.column("print").to_pylist()), dtype=np.uint16).reshape(len(ids), -1)
             columns = packed & 0xFFFFFFFF, packed >> 32, component, segments
             if turn is None:
-                found = ((i[at], j[at]) for i, j in pairs(starts, len(ids)) for at in [tried(i, j, *columns)[0]])
+                lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
+                found = ((i[ok], j[ok]) for i, j in pairs(starts, len(ids)) for ok in [np.flatnonzero((part[i] != part[j]) | (lo[i] == hi[i]))])
+                found = ((i[at], j[at]) for i, j in found for at in [tried(i, j, *columns)[0]])
             else:
                 found = pivoted(starts, len(ids), *columns)
             for i, j in found:
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
-
-    dealt = rows.withColumn("by", F.xxhash64("id", "key", F.lit(turn or 0))).repartition("key").sortWithinPartitions("key", "by")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
-
-
-def _similar(found: DataFrame, sets: DataFrame, least: float, most: int = 500_000, most_bytes: int = 32 << 20) -> DataFrame:
+                    # The pivot, of two others the one with more words in front, is the hub that the other's text comes to.
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(ids[i])], ["a", "b"])
+
+    if turn is None:
+        dealt = in_blocks(rows, "key", "id", block).withColumns({"lo": F.col("pair.lo"), "hi": F.col("pair.hi")}).drop("pair")
+        order = []
+    else:
+        parts = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
+        dealt = rows.join(parts, "key").withColumn("by", F.xxhash64("id", "key", F.lit(turn)))
+        dealt = dealt.withColumn("part", F.pmod("by", F.col("_parts")).cast("int")).drop("_parts")
+        order = ["by"]
+    met = dealt.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(meet, "a long, b long")
+    one = F.array_sort(F.array("a", "b"))
+    return met.groupBy(one.alias("_k")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+
+
+def _similar(found: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, sets: DataFrame, least: float, most: int = 2_000_000, block: int = 512) -> DataFrame:
     """The pairs whose sets have a Jaccard similarity of ``least`` or more.
 
-    If the sets of all pairs have ``most_bytes`` at most they go to the pairs. Else the sets go where their pairs
-    are, which are broadcast to them first while they are ``most`` at most.
+    One row's text stands for each set. The text of a, once for each ``block`` of its pairs, and that of each b go where
+    the pair is checked, as texts: these are smaller than their sets of hashes. Up to ``most`` wanted sets, rows are
+    picked before anything moves.
     """
-
-    def same(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-        return len(np.intersect1d(a, b, assume_unique=True)) >= _least_overlap(len(a), len(b), least)
-
-    ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    count = found.count()
-    wanted = sets.join(F.broadcast(ends) if count <= most else ends, "id", "left_semi")
-    if (wanted.agg(F.sum(F.octet_length("own"))).first()[0] or 0) <= most_bytes:
-        table = wanted.toArrow()
-        known = sets.sparkSession.sparkContext.broadcast(dict(zip(table["id"].to_pylist(), table["own"].to_pylist())))
-
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                good = [same(known.value[a], known.value[b]) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-                yield batch.filter(pa.array(good, pa.bool_()))
-
-        return found.select("a", "b").mapInArrow(look, "a long, b long")
+    ends = found.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
+    wanted = stored(sets.join(ends, "_set").groupBy("_set").agg(F.min(F.struct(F.col("_id").isNull(), "_id")).alias("f")).select(F.col("_set").alias("set"), F.col("f._id").alias("_wanted")), "jaccard-wanted")
+    count = wanted.count()
+    chosen = docs.select(F.col(doc_id).alias("_own"), F.col(text).alias("text"))
+    picked = chosen.join(F.broadcast(wanted) if count <= most else wanted, chosen["_own"].eqNullSafe(F.col("_wanted"))).select("set", "text")
+    # Rows of one id may have other texts: the set that is asked for tells which is meant.
+    sized = found.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    hubs = sized.select(F.col("a").alias("set"), "parts")
+    kinds = "array<struct<a:bigint,part:int,b:bigint>>"
+    as_b = found.join(sized, "a").select(F.col("b").alias("set"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b").alias("go"))
+    as_a = hubs.select("set", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.col("set").alias("a"), p.alias("part"), F.lit(None).cast("bigint").alias("b")))).alias("go"))
+    goes = as_b.unionByName(as_a)
+    goes = goes.groupBy("set", F.pmod(F.xxhash64("go"), F.lit(64)).alias("_salt")).agg(F.collect_list("go").cast(kinds).alias("gos"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, ["a", "b"], 1_000):
-            at = run_starts(table, ["a", "b"])
-            own = table.column("own").to_pylist()
-            good = np.array([same(own[k], own[k + 1]) for k in at.tolist()], dtype=bool)
-            yield from table.select(["a", "b"]).take(at[good]).to_batches()
-
-    both = found.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    met = sets.join(F.broadcast(both) if count <= most else both, "id").select("a", "b", "own")
-    return met.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(test, "a long, b long")
-
-
-def _first_texts(docs: DataFrame, text: str, shingle: int, wanted: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """_set and text of one row of each wanted set. A task gives each set once, so copies of one text don't meet in one task.
-
-    While the wanted sets are ``most`` at most (16 MB), tasks leave out the others before anything moves.
-    """
-    ids = wanted.select("_set")
-    count = ids.count()
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["_set"].to_numpy())) if count <= most else None
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for whole in batches:
-            for a, b in slices(whole, text):
-                batch = whole.slice(a, b - a)
-                own = np.array([_set_id(x) for x in _parts(batch, text, shingle)], dtype=np.uint64).view(np.int64)
-                asked = np.isin(own, known.value) if known else np.ones(len(own), dtype=bool)
-                at = [k for k in np.flatnonzero(asked).tolist() if own[k] not in seen and not seen.add(own[k])]
-                yield pa.RecordBatch.from_arrays([pa.array(own[at]), batch.column(0).take(pa.array(at, pa.int64()))], ["_set", "text"])
-            pa.default_memory_pool().release_unused()
+        hub = own = last = None
+        for batch in batches:
+            a, part, b, known = (batch.column(k).to_pylist() for k in range(4))
+            good = []
+            for k, x in enumerate(_parts(batch, "text", shingle)):
+                if _signed([_set_id(x)])[0].as_py() != known[k]:
+                    continue
+                if b[k] is None:
+                    hub, own = (a[k], part[k]), x
+                elif (a[k], part[k]) == hub and (*hub, b[k]) != last and len(np.intersect1d(own, x, assume_unique=True)) >= _least_overlap(len(own), len(x), least):
+                    last = (*hub, b[k])
+                    good.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    rows = docs.select(text).mapInArrow(pick, "_set long, text string")
-    rows = rows if known else rows.join(ids, "_set", "left_semi")
-    return rows.dropDuplicates(["_set"])
+    moved = picked.join(goes, "set").select("set", "text", F.explode("gos").alias("go")).select("go.a", "go.part", "go.b", "set", "text")
+    dealt = moved.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(test, "a long, b long")
 
 
-def components(docs: DataFrame, text: str, shingle: int, least: float, near: Near, print_of: Callable[[np.ndarray], bytes], small: int, turns: int = 3) -> DataFrame:
+def components(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float, sets: DataFrame, near: Near | None, small: int, turns: int = 3) -> DataFrame:
     """Rows (node, component) of the sets (ids of ``_set``) that links of ``least`` or more connect to others.
 
-    Of two sets of such a similarity, each has one of their common shingles among its first
+    ``sets`` are of ``set_ids``. Of two sets of such a similarity, each has one of their common shingles among its first
     ``size - ceil(least * size) + 1`` in any order that all sets follow: they meet at that key, and no pair is missed.
-    Pairs that meet are pruned by their prints (``near``) unless a set has fewer than ``small`` shingles, and what is
-    left is checked on the sets themselves. Only components matter, so pairs of one component aren't compared. While
-    keys hold far more pairs than rows, as where thousands are alike, each set is checked with one other of its key;
-    after ``turns`` of that, with all that are apart.
+    Pairs that meet are pruned by their prints (``near``; None prunes nothing) unless a set has fewer than ``small``
+    shingles, and what is left is checked on the sets themselves. Only components matter, so pairs of one component
+    aren't compared, and keys that one component has alone are dropped. While keys hold far more pairs than rows, as
+    where thousands are alike, each set is checked with one other of its key; after ``turns`` of that, with all that are
+    apart. What a turn stored is deleted as soon as the next one has its own.
     """
-    rows = stored(_shared(_prefixes(docs, text, shingle, least)), "jaccard-keys")
-    wanted = rows.select(F.col("id").alias("_set")).distinct()
-
-    def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            own = list(_parts(batch, "text", shingle))
-            return {"own": pa.array([x.tobytes() for x in own], pa.binary()), "print": pa.array(list(map(print_of, own)), pa.binary())}
-
-        return work
-
-    chosen = _first_texts(docs, text, shingle, wanted)
-    fields = [T.StructField("own", T.BinaryType()), T.StructField("print", T.BinaryType())]
-    sets = stored(map_rows(chosen, fields, make).select(F.col("_set").alias("id"), "own", "print"), "jaccard-sets")
-    rows = rows.join(sets.select("id", "print"), "id")
-    links = rows.sparkSession.createDataFrame([], "a long, b long")
-    rows = rows.withColumn("component", F.col("id"))
+    spark = docs.sparkSession
+    rows = stored(_met(_prefixes(docs, text, shingle, least)), "jaccard-keys")
+    prints = sets.groupBy(F.col("_set").alias("id")).agg(F.first("print").alias("print"))
+    links = spark.createDataFrame([], "a long, b long")
+    current = rows.join(prints, "id").withColumn("component", F.col("id"))
+    old: list[DataFrame] = [rows]
     for turn in range(turns + 1):
-        rows = stored(rows, "jaccard-rows")
+        rows = stored(current, "jaccard-rows")
         held = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         total = held.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")) / 2, F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
         last = turn == turns or total["pairs"] <= 8 * total["rows"]
         found = stored(_candidates(rows, least, near, small, None if last else turn + 1), "jaccard-pairs")
-        links = stored(links.unionByName(_similar(found, sets.select("id", "own"), least)), "jaccard-links")
+        before, links = links, stored(links.unionByName(_similar(found, docs, doc_id, text, shingle, sets, least)), "jaccard-links")
         linked = stored(connected_components(links), "jaccard-components")
+        discard(*old, found, before)
         if last:
+            discard(rows, links)
             return linked
-        rows = rows.drop("component").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        old = [rows, linked]
+        joined = rows.drop("component").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        current = _open(joined)
