@@ -31,8 +31,8 @@ DOMAINS = ("example.com", "example.net", "example.org", "site.com", "page.net",
 PATHS = ("/", "", "/about", "/articles/2021", "/en/", "/de/", "/fr/", "/es/", "/it/", "/guide/start", "/posts/", "/index.html", "/p/", "/blog/", "/view?id=", "/search?q=")
 
 
-def labelled_urls(spark: SparkSession, rows: int = 4096) -> DataFrame:
-    """A small labelled table (url, blocked): half of hosts of telling words, half of plain or made-up ones.
+def labelled_urls(spark: SparkSession, rows: int = 8192) -> DataFrame:
+    """A small labelled table (url, blocked): half of hosts with a telling word, half of plain or made-up ones.
 
     Made from a counter by hashing, so it is the same everywhere. Prefixes, domains and paths are drawn alike for
     both labels and say nothing.
@@ -42,7 +42,11 @@ def labelled_urls(spark: SparkSession, rows: int = 4096) -> DataFrame:
     pair = lambda items, k: F.concat(pick(items, k), F.when(at(k + 1, 3) == 0, "").otherwise(F.concat(pick(SEPARATORS, k + 2), pick(items, k + 3))))
     made = F.concat(*[pick(part, 30 + 2 * k + j) for k in range(3) for j, part in enumerate((CONSONANTS, VOWELS))], pick(CONSONANTS, 40))
     blocked = F.col("id") % 2 == 0
-    name = F.when(blocked, pair(BLOCKED_WORDS, 10)).otherwise(F.when(at(20, 2) == 0, pair(ALLOWED_WORDS, 21)).otherwise(made))
+    # A telling word next to a plain one still tells: two thirds of the blocked names, in either order.
+    glue, telling, plain = pick(SEPARATORS, 60), pick(BLOCKED_WORDS, 61), pick(ALLOWED_WORDS, 62)
+    mixed = F.when(at(63, 2) == 0, F.concat(telling, glue, plain)).otherwise(F.concat(plain, glue, telling))
+    bad = F.when(at(64, 3) > 0, mixed).otherwise(pair(BLOCKED_WORDS, 10))
+    name = F.when(blocked, bad).otherwise(F.when(at(20, 2) == 0, pair(ALLOWED_WORDS, 21)).otherwise(made))
     path = F.concat(pick(PATHS, 50), F.when(at(51, 2) == 0, at(52, 10_000).cast("string")).otherwise(""))
     url = F.concat(F.lit("https://"), pick(PREFIXES, 53), name, pick(TAILS, 54), F.lit("."), pick(DOMAINS, 55), path)
     return spark.range(rows).select(url.alias("url"), blocked.cast("int").alias("blocked"))
