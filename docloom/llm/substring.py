@@ -101,7 +101,8 @@ def _windows(edges: DataFrame, text: str, length: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), "_hash": F.xxhash64(text)})
+    # Ids of any kind; rows of one id and text are one document here, whose copies have the same spans.
+    return docs.withColumns({"_id": F.xxhash64(F.col(doc_id).cast("string")), "_hash": F.xxhash64(text)})
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 35) -> DataFrame:
@@ -121,7 +122,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     whole = seeds.join(extents.where("m > 1").select("anchor", "extent"), ["anchor", "extent"]).select(*_ROW, "start", "n")
     mixed = stored(extents.groupBy("anchor").agg(F.count("*").alias("k"), F.max(F.col("m") == 1).alias("open")).where("k > 1 and open").select("anchor"), "mixed")
     edges = extents.join(mixed, "anchor").select("one.*", (F.col("m") == 1).alias("open"))
-    edges = edges.groupBy(*_ROW).agg(F.collect_list(F.struct("start", "n", "open")).alias("spans"))
+    edges = edges.groupBy(*_ROW).agg(F.collect_set(F.struct("start", "n", "open")).alias("spans"))
     windows = stored(_windows(keyed.join(edges, [*_ROW]), text, length), "windows")
     again = stored(windows.groupBy("window").agg(F.count("*").alias("c"), F.max("open").alias("open")).where("c > 1 and open").select("window"), "again")
     single = windows.where("open").join(again, "window").select(*_ROW, "start", F.lit(1).alias("n"))
@@ -134,11 +135,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Words are runs of anything but blanks, unchanged. A word is removed if it lies in a window of ``length`` words
     whose sequence also starts anywhere else in the whole input, the same document included; windows are judged on
     the input. kept_text has the other words, one space between. Null texts have no words (kept_text is empty), a
-    text of fewer than ``length`` words loses none; repeated rows repeat each other; null ids are as good as others.
+    text of fewer than ``length`` words loses none; repeated rows repeat each other; null ids are as good as others, and ids may be of any kind.
     Columns of the results' names are replaced.
     """
     docs = without(docs, "_id", "_hash", "spans")
-    found = repeats(docs, doc_id, text, length).groupBy(*_ROW).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    found = repeats(docs, doc_id, text, length).groupBy(*_ROW).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     fields = T.StructType.fromDDL("n_words long, n_removed long, removed array<struct<first:int,last:int>>, kept_text string").fields
 
     def make():

@@ -55,6 +55,12 @@ def test_substring_dedup(spark, texts):
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got.collect()) == sorted(want)
 
 
+def test_substring_dedup_of_string_ids_and_copies(spark):
+    rows = [("a", prose(1, 60)), ("a", prose(1, 60)), ("b", prose(1, 60) + " tail"), ("c", prose(2, 50)), (None, prose(1, 40))]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("None", 40), ("a", 60), ("a", 60), ("b", 60), ("c", 0)]
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring.remove_repeats(frame(spark, [])).count() == 0
 
@@ -305,7 +311,10 @@ def test_url_model_knows_unseen_hosts(spark):
     table = spark.createDataFrame(rows, "url string, y int")
     got = urls.judge(table, urls.train(urls.labelled_urls(spark)), rules=()).collect()
     hit, said, true = (sum(f) for f in zip(*[(r.verdict == "block" and r.y == 1, r.verdict == "block", r.y == 1) for r in got]))
-    assert hit >= 0.8 * true and hit >= 0.8 * said
+    assert hit >= 0.9 * true and hit >= 0.9 * said
+    prefixed = [(f"http://{p}{h}.example.com/{i}", 1) for h in ("spam-farm", "casino-win", "free-bets", "cheap-pills", "adult-x", "ads-track") for p in ("", "www.", "m.", "blog.", "my-") for i in range(3)]
+    judged = urls.judge(spark.createDataFrame(prefixed, "url string, y int"), urls.train(urls.labelled_urls(spark)), rules=()).collect()
+    assert sum(r.verdict == "block" for r in judged) >= 0.9 * len(prefixed)
 
 
 def test_chat(spark):
