@@ -15,6 +15,8 @@ from docloom.sources import files
 def search(spark: SparkSession, query: str, roots: list[dict], patterns: dict[str, list[str] | None] | None = None, per_document: int = 50, limit: int = 200, include_frontmatter: bool = False, kind: str = "*.md") -> DataFrame:
     """Matches of a smart-case query in the roots (dicts of path, mirror_name, source_type, identifier), with titles, page ids and mirrors.
 
+    A root may name another ``format`` (with ``options``) than a folder of files: any data source that is registered with
+    the session (``spark.dataSource.register``) and gives path and text; paths are then relative to the root's.
     Roots that the blacklist names are left out; a cap for each document, then the first ``limit`` in order.
     """
     known = spark.createDataFrame([tuple(str(r[k]) for k in ("path", "mirror_name", "source_type", "identifier")) for r in roots], "path string, mirror_name string, source_type string, identifier string")
@@ -22,8 +24,12 @@ def search(spark: SparkSession, query: str, roots: list[dict], patterns: dict[st
     roots = [r for r in roots if str(r["path"]) in kept]
     found = None
     for root in roots:
-        rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", kind).text(root["path"], wholetext=True)
-        docs = rows.select(F.concat(F.lit(root["path"].rstrip("/") + "/"), files._relative(root["path"])).alias("path"), F.col("value").alias("text"))
+        if root.get("format"):
+            rows = spark.read.format(root["format"]).options(**root.get("options", {})).load()
+            docs = rows.select(F.concat(F.lit(root["path"].rstrip("/") + "/"), "path").alias("path"), "text")
+        else:
+            rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", kind).text(root["path"], wholetext=True)
+            docs = rows.select(F.concat(F.lit(root["path"].rstrip("/") + "/"), files._relative(root["path"])).alias("path"), F.col("value").alias("text"))
         own = lines.with_metadata(lines.search_lines(docs, query, "path", "text", per_document), docs, roots, include_frontmatter=include_frontmatter)
         found = own if found is None else found.unionByName(own)
     if found is None:
@@ -47,10 +53,16 @@ def review_report(docs: DataFrame, model: review.Model, modes: list[str], scope:
     return review.report_text({mode: found[mode](rows) for mode, rows in answers.items()}, scope, date, review.ask_counts(list(answers.values())))
 
 
-def index(docs: DataFrame, model: review.Model, instruction: str, clustered: bool = False) -> DataFrame:
-    """One row with the index of documents (path, text): a summary each, under one topic if asked for topics without a model of these."""
-    made = review.summaries(docs, model, instruction)
-    return review.index_text(made, review.one_cluster(made) if clustered else None)
+def index(docs: DataFrame, model: review.Model, instruction: str, clustered: bool = False, topics: str | None = None, cache: review.Cache = None) -> DataFrame:
+    """One row with the index of documents (path, text): a summary each, in topics if asked for.
+
+    ``topics`` is the instruction by which the model names them; without it all is one topic. With an ``AnswerStore``
+    as cache, answers are kept, and a second index asks nothing that is known.
+    """
+    made = stored(review.summaries(docs, model, instruction, cache=cache), "summaries")
+    if not clustered:
+        return review.index_text(made)
+    return review.index_text(made, review.topics(made, model, topics, cache=cache) if topics else review.one_cluster(made))
 
 
 def rewrite(docs: DataFrame, model: review.Model, instruction: str) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import frontmatter as fm
@@ -171,13 +171,13 @@ def rewrites(docs: DataFrame, model: Model, instruction: str, key: str = "path",
     return back.select(key, new.alias("rewritten"), (new != F.col("_text")).alias("changed"), error.alias("error"))
 
 
-def summaries(docs: DataFrame, model: Model, instruction: str, key: str = "path", text: str = "text", section: tuple[str, ...] = ("ai",)) -> DataFrame:
+def summaries(docs: DataFrame, model: Model, instruction: str, key: str = "path", text: str = "text", section: tuple[str, ...] = ("ai",), cache: Cache = None) -> DataFrame:
     """key, summary and cached: the frontmatter's summary while its summary_input_hash is the body's hash, else the model's; null if it fails."""
     rows = docs.select(key, F.col(text).alias("_text"), fm.frontmatter(F.col(text)).alias("_fm")).withColumn("_body", fm.body(F.col("_text")))
     same = fm.field(F.col("_fm"), *section, "summary_input_hash") == fn.body_hash(F.col("_body"))
     known = F.when(same, F.nullif(fm.field(F.col("_fm"), *section, "summary"), F.lit("")))
     rows = rows.withColumn("summary", known)
-    new = ask(rows.where("summary is null").select(key, F.concat(F.lit(instruction + "\n\n"), "_body").alias("prompt")), model)
+    new = ask(rows.where("summary is null").select(key, F.concat(F.lit(instruction + "\n\n"), "_body").alias("prompt")), model, cache=cache)
     return rows.where("summary is not null").select(key, "summary", F.lit(True).alias("cached")).unionByName(new.select(key, F.col("answer").alias("summary"), F.lit(False).alias("cached")))
 
 
@@ -206,6 +206,49 @@ def one_cluster(summary: DataFrame, key: str = "path") -> DataFrame:
     return summary.where("summary is not null").agg(F.array_sort(F.collect_list(key)).alias("paths")).select(F.lit(0).alias("ord"), F.lit("Pages").alias("topic"), "paths")
 
 
+def _grouped(items: DataFrame, model: Model, instruction: str, most_chars: int, cache: Cache) -> tuple[DataFrame, int, int]:
+    """name and topic of items (name, line) by the model, in prompts of about ``most_chars``; the number of prompts and of failures."""
+    sized = items.select("name", "line", (F.length("line") + 1).alias("_n"))
+    total = sized.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    parts = max(1, -(-2 * total // most_chars))
+    part = sized.withColumn("_part", F.pmod(F.xxhash64("name"), F.lit(parts)) if total > most_chars else F.lit(0))
+    so_far = F.sum("_n").over(Window.partitionBy("_part").orderBy("name"))
+    part = part.withColumn("_sub", F.floor((so_far - 1) / most_chars))
+    chunks = part.groupBy("_part", "_sub").agg(F.array_sort(F.collect_list(F.struct("name", "line"))).alias("items"))
+    prompts = chunks.select("items", F.concat(F.lit(instruction + "\n\n"), F.array_join(F.transform("items", lambda x: x["line"]), "\n")).alias("prompt"))
+    answers = stored(ask(prompts, model, cache=cache), "topics")
+    clusters = F.from_json(fm.field(json_object(F.col("answer")), "clusters"), "array<struct<topic:string,paths:array<string>>>")
+    good = F.filter(clusters, lambda c: c["topic"].isNotNull() & c["paths"].isNotNull())
+    count = answers.agg(F.count("*").alias("n"), F.count_if(clusters.isNull()).alias("bad")).first()
+    claims = answers.select("items", F.posexplode(good).alias("at", "c")).select("items", "at", F.col("c.topic").alias("topic"), F.explode("c.paths").alias("name"))
+    claims = claims.where(F.exists("items", lambda x: x["name"] == F.col("name")))
+    return claims.groupBy("name").agg(F.min_by("topic", "at").alias("topic")), count["n"], count["bad"]
+
+
+def topics(summary: DataFrame, model: Model, instruction: str, key: str = "path", most_chars: int = 20_000, rounds: int = 8, cache: Cache = None) -> DataFrame:
+    """Clusters (ord, topic, paths) of summaries, as the model names them: one row for each topic, by its first path.
+
+    Summaries are asked in prompts of about ``most_chars`` at most, a name beyond that alone; the topics of all prompts are then
+    grouped in the same way, and so on until one prompt holds them, so no prompt and no task grows with the collection.
+    A path that several topics of one answer claim goes to the first; one that none claims, or that wasn't asked for,
+    is left out (``index_text`` puts it under Other). If an answer can't be read, all paths are one cluster.
+    """
+    rows = summary.where("summary is not null").select(F.col(key).cast("string").alias("name"), F.concat(F.lit("- "), F.col(key).cast("string"), F.lit(": "), F.col("summary")).alias("line"))
+    found, prompts, bad = _grouped(rows, model, instruction, most_chars, cache)
+    found = stored(found, "topics-of-paths")
+    while prompts > 1 and not bad and rounds:
+        names = found.select("topic").distinct().select(F.col("topic").alias("name"), F.concat(F.lit("- "), "topic").alias("line"))
+        wider, now, bad = _grouped(names, model, instruction, most_chars, cache)
+        wider = wider.select(F.col("name").alias("topic"), F.col("topic").alias("_wider"))
+        found = stored(found.join(wider, "topic", "left").select("name", F.coalesce("_wider", "topic").alias("topic")), "topics-of-paths")
+        rounds = rounds - 1 if now < prompts else 0
+        prompts = now
+    if bad:
+        return one_cluster(summary, key)
+    lists = found.groupBy("topic").agg(F.array_sort(F.collect_list("name")).alias("paths"))
+    return lists.select((F.row_number().over(Window.orderBy(F.element_at("paths", 1), "topic")) - 1).alias("ord"), "topic", "paths")
+
+
 def report_text(findings: dict[str, DataFrame], scope: str, date: str, counts: dict[str, int]) -> DataFrame:
     """One row with the text of a review report: a section for each mode that ran (duplicates, inconsistencies, stale) and the run's counts.
 
