@@ -12,9 +12,6 @@ from pyspark.sql import types as T
 # What a table of contents looks like, and the placeholder of a dropped image.
 TOC_HEADING = r"(?i)^(?:#{7,}\s.*|#{1,6}\s+(?:table\s+of\s+contents|contents))\s*$"
 TOC_LINE = r"^(?:\s*(?:\d+\.|\*|-)\s+.+\d+\s*|\d+(?:\.\d+)*\t.+\t\d+\s*)$"
-# Sections and lines that every converted protocol repeats.
-LOGISTICS = r"(?:\d+\.?\s+)?meeting\s+logistics\s*$"
-ACTIONS = r"\s*[-*]\s+(?i:actions are on the \[)"
 IMAGE, DROPPED = "<!-- image -->", "<!-- image dropped -->"
 
 
@@ -38,7 +35,7 @@ def without_toc(text: Column, heading: str = TOC_HEADING, line: str = TOC_LINE)
     return F.array_join(F.aggregate(numbered, start, step, lambda s: s["out"]), "\n")
 
 
-def without_sections(text: Column, title: str = LOGISTICS) -> Column:
+def without_sections(text: Column, title: str) -> Column:
     """A text without the sections whose heading's title matches: up to the next heading of the same or a higher level."""
     state = "struct<level:int,out:array<string>>"
 
@@ -53,7 +50,7 @@ def without_sections(text: Column, title: str = LOGISTICS) -> Column:
     return F.array_join(F.aggregate(_lines(text), start, step, lambda s: s["out"]), "\n")
 
 
-def without_lines(text: Column, patterns: tuple[str, ...] = (ACTIONS,)) -> Column:
+def without_lines(text: Column, patterns: tuple[str, ...]) -> Column:
     """A text without the lines that begin with a match of any pattern."""
     return F.array_join(F.filter(_lines(text), lambda x: ~F.exists(F.array(*map(F.lit, patterns)), lambda p: F.regexp_like(x, F.concat(F.lit("^(?:"), p, F.lit(")"))))), "\n")
 

@@ -1,3 +1,3 @@
 """Queries by name and their SQL; importing this fills the registry."""
 
-from . import more, node_plans, registry  # noqa: F401
+from . import more, node_plans, registry, text_plans  # noqa: F401
