@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import periodic, queries, topk, trie
+from docloom.llm import langid, periodic, queries, topk, trie
 
 SF = "/root/testdata/sf0.001"
 sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
@@ -183,3 +183,43 @@ def test_prefix_trie_equals_brute_force(spark, tmp_path, monkeypatch):
 def test_prefix_trie_of_no_conversations(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert queries.op13_prefix_trie(spark, str(tmp_path)).count() == 0
+
+
+def gram_counts(text):
+    """Hashed n-grams of 2 and 3 bytes of a text, counted one by one."""
+    code = [0x20] + [b + 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in (text or "").encode()] + [0x20]
+    out = defaultdict(int)
+    for n in (2, 3):
+        for i in range(len(code) - n + 1):
+            h = 0
+            for c in code[i : i + n]:
+                h = ((h ^ c) * 0x01000193) & 0xFFFFFFFF
+            out[((h * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - langid.SIZE_BITS)] += 1
+    return out
+
+
+def test_languages_by_hand(spark):
+    rng = random.Random(2)
+    words = {"en": "the and of house river".split(), "de": "der und das Haus schön".split(), "fr": "le et maison rivière où".split()}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randint(3, 30))), k) for i in range(90) for k in [("en", "de", "fr")[i % 3]]]
+    rows += [(100, None, "en"), (101, "", "de"), (102, "123 456", "fr"), (103, "漢字漢字 漢字", None), (104, "the house", None), (None, "le maison", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    learned = [gram_counts(t) for i, t, k in rows if i is not None and t is not None and k is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    idf = [np.log((1 + len(learned)) / (1 + sum(b in c for c in learned))) + 1 for b in range(langid.SIZE)]
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+    assert model.languages == ["de", "en", "fr"] and np.allclose((model.centroids**2).sum(1), 1, atol=1e-4)
+    got = {(r.doc_id, r.text): r for r in langid.predict(df, model).collect()}
+    for i, t, _ in rows:
+        r = got[i, t]
+        if not any(c.isalpha() for c in t or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        own = {b: (1 + np.log(n)) * idf[b] for b, n in gram_counts(t).items()}
+        norm = np.sqrt(sum(v * v for v in own.values()))
+        cosine = [sum(v * c[b] for b, v in own.items()) / norm for c in model.centroids]
+        best = int(np.argmax(cosine))
+        assert abs(r.score - max(cosine)) < 1e-4
+        assert r.lang_pred == model.languages[model.owner[best]] or max(c for c, o in zip(cosine, model.owner) if model.languages[o] == r.lang_pred) > max(cosine) - 1e-5
+        assert r.rejected == (1 - max(cosine) > model.reach[best]) or abs(1 - max(cosine) - model.reach[best]) < 1e-4
+    assert got[103, "漢字漢字 漢字"].rejected and not got[104, "the house"].rejected and got[104, "the house"].lang_pred == "en"
