@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +41,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver collects garbage, which may be long after a loop's next rounds have written theirs
+    (``spark.cleaner.periodicGC.interval`` is half an hour).
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` wrote, once nothing is read from them any more; other frames are left alone."""
     for df in tables:

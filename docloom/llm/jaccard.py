@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_rows, slices, stored
+from .common import discard, forget, map_rows, slices, stored
 from .graph import connected_components, in_blocks, pairs, run_starts, whole_runs
 from .words import NOT_BLANK, grams, words
 
@@ -283,6 +283,7 @@ def components(docs: DataFrame, doc_id: str, text: str, shingle: int, least: flo
     """
     spark = docs.sparkSession
     rows = stored(_met(_prefixes(docs, text, shingle, least)), "jaccard-keys")
+    forget(spark)
     prints = sets.groupBy(F.col("_set").alias("id")).agg(F.first("print").alias("print"))
     links = spark.createDataFrame([], "a long, b long")
     current = rows.join(prints, "id").withColumn("component", F.col("id"))
@@ -293,9 +294,12 @@ def components(docs: DataFrame, doc_id: str, text: str, shingle: int, least: flo
         total = held.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")) / 2, F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
         last = turn == turns or total["pairs"] <= 8 * total["rows"]
         found = stored(_candidates(rows, least, near, small, None if last else turn + 1), "jaccard-pairs")
+        forget(spark)
         before, links = links, stored(links.unionByName(_similar(found, docs, doc_id, text, shingle, sets, least)), "jaccard-links")
+        forget(spark)
         linked = stored(connected_components(links), "jaccard-components")
         discard(*old, found, before)
+        forget(spark)
         if last:
             discard(rows, links)
             return linked
