@@ -139,6 +139,39 @@ def normalise(nodes: DataFrame) -> DataFrame:
     return nodes
 
 
+# Kinds that hold a source's text as it is.
+OPAQUE = ("RawBlock", "RawInline")
+
+
+def to_opaque(nodes: DataFrame, where: Column, content: Column, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """Blocks that a condition holds for become raw ones with a text and nothing below; and an event for each: doc_id, path, kind (as it was), reason.
+
+    Of such blocks below one another only the topmost counts: its text holds the others.
+    """
+    hit = stored(nodes.where((F.col("tier") == "block") & F.coalesce(where, F.lit(False))).select("*", content.alias("_content"), reason.alias("_reason")), "opaque")
+    ups = hit.where("size(path) > 1").select("doc_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))).alias("_up"))
+    inner = ups.join(hit.select("doc_id", F.col("path").alias("_up")), ["doc_id", "_up"], "left_semi").select("doc_id", "path").distinct()
+    tops = hit.join(inner, ["doc_id", "path"], "left_anti")
+    raw = tops.withColumns({"kind": F.lit("RawBlock"), "text": F.col("_content")}).select(nodes.columns)
+    return drop_nodes(nodes, hit.select("doc_id", "path")).unionByName(raw), tops.select("doc_id", "path", "kind", F.col("_reason").alias("reason"))
+
+
+def normalise_with_events(nodes: DataFrame, passes: tuple[Callable[[DataFrame], DataFrame], ...] = PASSES) -> tuple[DataFrame, DataFrame]:
+    """All passes, and events (doc_id, path, kind, reason) on what a reader of the result doesn't see as it was.
+
+    A node that a pass dropped has the pass's name as reason, with all that was below it; raw nodes of the result have
+    ``opaque``. What goes into each pass is stored, and compared by place with what comes out.
+    """
+    events = None
+    for step in passes:
+        before = stored(nodes, "nodes")
+        nodes = stored(step(before), "nodes")
+        lost = before.join(nodes.select("doc_id", "path"), ["doc_id", "path"], "left_anti").select("doc_id", "path", "kind", F.lit(step.__name__).alias("reason"))
+        events = lost if events is None else events.unionByName(lost)
+    raw = nodes.where(F.col("kind").isin(*OPAQUE)).select("doc_id", "path", "kind", F.lit("opaque").alias("reason"))
+    return nodes, raw if events is None else events.unionByName(raw)
+
+
 def assign_ids(nodes: DataFrame) -> DataFrame:
     """Blocks without a node_id get ``b00001`` and so on, in the tree's order within their document; ids that are there use up no number."""
     new = (F.col("tier") == "block") & (F.coalesce("node_id", F.lit("")) == "")

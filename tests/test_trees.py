@@ -118,3 +118,17 @@ def test_graft_of_nothing(spark):
     assert identity.graft(table.limit(0), table).count() == 0
     assert back(identity.graft(table, table.limit(0))) == {"d": [P(text("a"))]}
     assert nodes.flat_texts(table).first().flat_text == "a"
+
+
+def test_events_of_dropped_and_opaque_nodes(spark):
+    tree = [P(), P(text(" ")), node("RawBlock", content="<x/>"), node("BlockQuote", children=[P(text("[!NOTE]")), P(text("a"))]), P(text("b"), node("RawInline", content="<y/>"))]
+    done, events = nodes.normalise_with_events(rows_of(spark, {"d": tree}))
+    assert sorted((tuple(r.path), r.kind, r.reason) for r in events.collect()) == [
+        ((0,), "Paragraph", "drop_empty_paragraphs"), ((1,), "Paragraph", "drop_empty_paragraphs"), ((1, 0), "Text", "drop_empty_paragraphs"), ((2,), "RawBlock", "opaque"),
+        ((3, 0), "Paragraph", "attach_callout_kind"), ((3, 0, 0), "Text", "attach_callout_kind"), ((4, 1), "RawInline", "opaque"),
+    ]
+    assert sorted(tuple(r.path) for r in done.collect()) == [(2,), (3,), (3, 1), (3, 1, 0), (4,), (4, 0), (4, 1)]
+    table = rows_of(spark, {"d": [node("BlockQuote", children=[node("BlockQuote", children=[P(text("a"))])]), P(text("b"))]})
+    left, events = nodes.to_opaque(table, F.col("kind") == "BlockQuote", F.concat(F.lit("<q>"), F.size("path").cast("string")), F.lit("not known"))
+    assert [(tuple(r.path), r.kind, r.reason) for r in events.collect()] == [((0,), "BlockQuote", "not known")]
+    assert sorted((tuple(r.path), r.kind, r.text) for r in left.collect()) == [((0,), "RawBlock", "<q>1"), ((1,), "Paragraph", None), ((1, 0), "Text", "b")]
