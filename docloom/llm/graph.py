@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import discard, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,18 +17,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, each a shuffle by node, until the edges stay as they are; then
     every node points at its smallest. Nodes without an edge are absent; nulls and loops are ignored. The number
-    of rounds grows with the logarithm of a component's size. Each round is checkpointed, so a lost executor costs
-    one round at most.
+    of rounds grows with the logarithm of a component's size. Each round is a table in the shared folder, so a lost
+    executor costs one round at most.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, state = cut(e), None
+    e, state = stored(e, "links"), None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        e = cut(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select("b", "m")).where("a <> b").distinct())
+        before, e = e, stored(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select("b", "m")).where("a <> b").distinct(), "links")
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
