@@ -124,6 +124,7 @@ def test_near_copies_are_found(spark):
     rows = planted_copies()
     want = kept_by_jaccard(rows)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), FOLDER).collect()) == want
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows), exact=True).collect()) == want
     odd = [(1, None), (1, None), (2, "one two"), (2, "one two"), (None, "x y z"), (None, "x y z"), (3, "x  y z"), (4, "a b"), (4, "c d"), (None, "null only")]
     kept = simhash.one_of_each(frame(spark, odd)).collect()
     assert sorted((str(r.doc_id), r.text or "") for r in kept) == [("1", ""), ("2", "one two"), ("3", "x  y z"), ("4", "a b"), ("4", "c d"), ("None", "null only")]
