@@ -13,7 +13,7 @@ BUCKETS = 16384
 GRAM = 4
 
 # The rules (verdict, domain, path) and what the small labelled table is made of.
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 BLOCKED_WORDS = (
     "adclick ads adserver adult banner bet bets betting bonus cam casino cheap cialis clickbait crack credit dating deal doubleclick escort free freebie gamble "
     "giveaway hack jackpot keygen loans lottery malware nude payday pharma phishing pills poker popunder popup porn prize promo replica serial sex slots spam "
