@@ -1,6 +1,7 @@
 """Operators on files, ignore lines, gates, searches, states, reviews and node tables, on small inputs."""
 
 import os
+import random
 import sys
 
 import pytest
@@ -109,6 +110,27 @@ def test_bm25_against_plain_python(spark):
     assert {r.doc_id for r in bm25.top_k(docs, docs, 2, "doc_id", "text", pool=pool).collect()} == {2, 3}
 
 
+def test_bm25_keeps_no_table_of_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("red green blue yellow one two three four five six".split()) for _ in range(8)) + f" w{i % 90} v{i}" for i in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = [(r.doc_id_query, r.rank, r.doc_id, r.score) for r in bm25.top_k(docs, docs, 3, "doc_id", "text", itself=True).collect()]
+    kept, rows = bm25.stored, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(bm25, "stored", counted)
+    # Many small blocks of either side, and of what is scored at once, give the same.
+    for name, value in (("ASKED", 300), ("QUERIES", 50), ("WORDS", 200), ("PAIRS", 500), ("MATRIX", 300)):
+        monkeypatch.setattr(bm25, name, value, raising=False)
+    assert sorted((r.doc_id_query, r.rank, r.doc_id, r.score) for r in bm25.top_k(docs, docs, 3, "doc_id", "text", itself=True).collect()) == sorted(plain)
+    # All 57,360 pairs share words; what is stored is no longer than the documents' words.
+    assert max(rows)[0] <= 240 * 10
+
+
 @pytest.fixture
 def mirror(tmp_path):
     made = {
