@@ -211,6 +211,22 @@ def coder():
         return sentpiece.Codec(f.read())
 
 
+def test_only_texts_that_change_are_decoded_twice(coder, monkeypatch):
+    class Library:
+        def decode(self, ids, num_threads):
+            asked.extend(ids)
+            return [back[-1] for _ in ids]
+
+    texts, asked = ["plain words  here", "", None, "an odd\ufffd\u2581mark"], []
+    found = coder.encode_batch(texts)
+    back = coder.decode_batch(found)
+    monkeypatch.setattr(coder, "library", Library())
+    assert coder.decode_batch(found, texts) == back and len(asked) == 1
+    back[-1] += "x"
+    with pytest.raises(ValueError):
+        coder.decode_batch(found, texts)
+
+
 def test_sentencepiece_equals_the_library(spark, coder, texts):
     rng = random.Random(2)
     odd = "ab the  ▁\n\t<s></s>éüß漢字😀ﬁ\x00<0x0A>  .,;$"
