@@ -77,4 +77,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{common.shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         docs.write.parquet(path)
         docs = spark.read.parquet(path)
+        common.forget(spark)  # the stage's models, which the driver holds for its tasks
     return docs

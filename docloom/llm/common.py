@@ -42,12 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of plans that nothing refers to any more.
+    """Have Spark delete the shuffle files and broadcasts of plans that nothing refers to any more.
 
     It does so when the driver collects garbage, which may be long after a loop's next rounds have written theirs
     (``spark.cleaner.periodicGC.interval`` is half an hour).
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -21,6 +21,8 @@ Near = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 PLACES, CHUNK = 20, 1 << 14
 #: From so many occurrences on, a shingle's sets are dealt out to several tasks.
 HOT = 1 << 16
+#: So many pairs are compared at once, where they are up to eight times the rows; a turn takes longer than these.
+FEW = 1 << 17
 
 
 def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -277,22 +279,22 @@ def components(docs: DataFrame, doc_id: str, text: str, shingle: int, least: flo
     ``size - ceil(least * size) + 1`` in any order that all sets follow: they meet at that key, and no pair is missed.
     Pairs that meet are pruned by their prints (``near``; None prunes nothing) unless a set has fewer than ``small``
     shingles, and what is left is checked on the sets themselves. Only components matter, so pairs of one component
-    aren't compared, and keys that one component has alone are dropped. While keys hold far more pairs than rows, as
-    where thousands are alike, each set is checked with one other of its key; after ``turns`` of that, with all that are
-    apart. What a turn stored is deleted as soon as the next one has its own.
+    aren't compared, and keys that one component has alone are dropped. While keys hold more pairs than rows, as
+    where many are alike, each set is checked with one other of its key, so a turn makes no more pairs than rows; after
+    ``turns`` of that, or once no more pairs are left than rows (or ``FEW``), it is checked with all that are apart. What a turn stored is deleted as soon as the next one has its own.
     """
     spark = docs.sparkSession
     rows = stored(_met(_prefixes(docs, text, shingle, least)), "jaccard-keys")
     forget(spark)
     prints = sets.groupBy(F.col("_set").alias("id")).agg(F.first("print").alias("print"))
-    links = spark.createDataFrame([], "a long, b long")
+    links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     current = rows.join(prints, "id").withColumn("component", F.col("id"))
     old: list[DataFrame] = [rows]
     for turn in range(turns + 1):
         rows = stored(current, "jaccard-rows")
         held = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         total = held.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")) / 2, F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-        last = turn == turns or total["pairs"] <= 8 * total["rows"]
+        last = turn == turns or total["pairs"] <= (8 if total["pairs"] <= FEW else 1) * total["rows"]
         found = stored(_candidates(rows, least, near, small, None if last else turn + 1), "jaccard-pairs")
         forget(spark)
         before, links = links, stored(links.unionByName(_similar(found, docs, doc_id, text, shingle, sets, least)), "jaccard-links")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, map_rows, resident, slices
+from .common import fold, forget, map_rows, resident, slices
 from .words import text_bytes
 
 #: Symbols of the classes' longest n-grams and of the shared ones, which give the chances that the classes back off to.
@@ -238,14 +238,19 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     shared = _shared(shared_counts(texts, "_text").select("key").toArrow()["key"].to_numpy())
     counts = class_counts(rows, "_text", "_y", "_fold").toArrow()
     key, part = counts["key"].to_numpy(), counts["part"].to_numpy()
-    numbers = np.column_stack([counts[c].to_numpy() for c in CLASSES])
+    numbers = np.column_stack([counts[c].to_numpy().astype(np.int32) for c in CLASSES])
+    del counts
 
     def fitted(own: np.ndarray) -> Model:
         unique, of = np.unique(key[own], return_inverse=True)
         return likelihood_ratios(unique, np.column_stack([np.bincount(of, numbers[own, c], len(unique)) for c in (0, 1)]).astype(np.int64), shared)
 
-    found = [_with_features(rows.where(F.col("_fold") == k), "_text", fitted(part != k)).select("_y", *FEATURES).toPandas() for k in (0, 1, 3)]
-    x, y = (np.concatenate([f[c].to_numpy(dtype=float) for f in found]) for c in (FEATURES, "_y"))
+    found = []
+    for k in (0, 1, 3):
+        found.append(_with_features(rows.where(F.col("_fold") == k), "_text", fitted(part != k)).select("_y", *FEATURES).toArrow())
+        forget(docs.sparkSession)  # the fold's model, which the driver holds for the tasks
+    x = np.column_stack([np.concatenate([f[c].to_numpy() for f in found]) for c in FEATURES])
+    y = np.concatenate([f["_y"].to_numpy() for f in found])
     model = fitted(part >= 0)
     model.weights = logistic(x, np.minimum(y, 1)) if len(np.unique(y > 0)) > 1 else np.array([1.0, 0.0, -2.0])
     return model

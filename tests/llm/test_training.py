@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, common, decontam, embed_dedup, graph, langid, secrets, sentpiece, simhash, substring, toxicity, urls
+from docloom.llm import chat, common, decontam, embed_dedup, graph, jaccard, langid, secrets, sentpiece, simhash, substring, toxicity, urls
 from docloom.llm.queries import PIECE_MODEL, QUERIES
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,6 +118,25 @@ def kept_by_jaccard(rows, least=0.8):
     return sorted(min(i for (i, _), q in zip(rows, root) if q == r) for r in set(root))
 
 
+def test_pairs_of_groups_of_near_copies_grow_with_their_sets(spark, monkeypatch):
+    rng, pairs, made = random.Random(12), jaccard._candidates, []
+
+    def counted(*args, **named):
+        out = pairs(*args, **named)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_candidates", counted)
+    monkeypatch.setattr(jaccard, "FEW", 0, raising=False)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(12 * k + g, " ".join(base[:-1] + [f"end{k}"])) for k in range(14)]
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == list(range(12))
+    # Each group has 91 pairs; a set is checked with one other of its group, not with all.
+    assert sum(made) <= 3 * len(rows)
+
+
 def test_near_copies_are_found(spark):
     import corpus_pipeline
 
