@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, forget, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,13 +23,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, state = stored(e, "links"), None
     while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Each half of a round is stored: as one plan of both, it reads the links many times over, which the driver must hold and plan.
+        least = e.groupBy(F.col("a").alias("_node")).agg(F.min("b").alias("m"))
+        large = stored(e.join(least, e["b"] == least["_node"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), "links")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        before, e = e, stored(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select("b", "m")).where("a <> b").distinct(), "links")
-        discard(before)
+        rest = large.join(least, "a").where("b <> m").select("b", "m")
+        before, e = e, stored(least.unionAll(rest).toDF("a", "b").distinct(), "links")
+        discard(before, large)
+        forget(edges.sparkSession)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

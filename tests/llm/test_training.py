@@ -172,6 +172,26 @@ def test_hamming_links_are_whole(spark):
     assert {x: got.get(x, x) for x in signed} == near
 
 
+def test_rounds_of_components_are_small_plans(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(60)] + [(500, x) for x in range(300, 400)] + [(rng.randrange(700, 900), rng.randrange(700, 900)) for _ in range(90)] + [(7, 7), (3, None), (None, None)]
+    reads = []
+
+    def kept(df, name, store=graph.stored):
+        reads.append(df._jdf.queryExecution().analyzed().toString().count("Relation ["))
+        return store(df, name)
+
+    monkeypatch.setattr(graph, "stored", kept)
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    least = {x: x for e in edges for x in e if None not in e and e[0] != e[1]}
+    for _ in least:
+        for a, b in edges:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+    assert len(reads) > 2 and max(reads) <= 3  # 16 as one plan
+
+
 def test_decontamination(spark, texts):
     items = [(1, " ".join(prose(5).split()[10:40]).upper()), (2, "one two"), (3, None), (4, ""), (5, prose(77, 30)), (6, "漢字 😀 ünï"), (1, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
