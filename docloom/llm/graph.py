@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, forget, stored
@@ -39,25 +39,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(root)
 
 
-def in_blocks(rows: DataFrame, key: str, by: str, block: int = 1024) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, by: str, block: int = 1024, weight: Column | None = None) -> DataFrame:
     """Deal the rows of each bucket out so that any two of a bucket meet once, in a group of at most about 2 x block.
 
     A bucket of n rows is split by a hash of ``by`` into ceil(n / block) parts, and each two parts form a group;
-    buckets of one row are dropped, for they hold no pair. Adds part and pair (struct lo, hi).
+    buckets of one row are dropped, for they hold no pair. Adds part and pair (struct lo, hi). With a weight, n is its sum.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    parts = rows.join(sizes, key).withColumn("_parts", F.ceil(F.col("_n") / block).cast("int"))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"), (F.count("*") if weight is None else F.sum(weight)).alias("_sum")).where("_n > 1")
+    parts = rows.join(sizes, key).withColumn("_parts", F.greatest(F.ceil(F.col("_sum") / block), F.lit(1)).cast("int"))
     parts = parts.withColumn("part", F.pmod(F.xxhash64(by, F.lit(7)), F.col("_parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
     return (
         parts.withColumn("_other", other)
         .withColumn("pair", F.struct(F.least("part", "_other").alias("lo"), F.greatest("part", "_other").alias("hi")))
-        .drop("_n", "_parts", "_other")
+        .drop("_n", "_sum", "_parts", "_other")
     )
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], columns: list[str], least: int = 20_000) -> Iterator[pa.Table]:
-    """Tables that end where a run of equal ``columns`` ends; the input is sorted by them."""
+def whole_runs(batches: Iterator[pa.RecordBatch], columns: list[str], least: int = 20_000, most: int | None = None) -> Iterator[pa.Table]:
+    """Tables that end where a run of equal ``columns`` ends; the input is sorted by them.
+
+    With ``most``, a run of more rows than that may go on in the next tables.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -68,6 +71,8 @@ def whole_runs(batches: Iterator[pa.RecordBatch], columns: list[str], least: int
         if size >= least:
             table = pa.Table.from_batches(held)
             where = run_starts(table, columns)[-1]
+            if most is not None and size - where > most:
+                where = size
             if where:
                 yield table.slice(0, where)
             rest = table.slice(where).combine_chunks()

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,10 @@ Near = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 PLACES, CHUNK = 20, 1 << 14
 #: From so many occurrences on, a shingle's sets are dealt out to several tasks.
 HOT = 1 << 16
-#: So many pairs are compared at once, where they are up to eight times the rows; a turn takes longer than these.
-FEW = 1 << 17
+#: Of a key of so many sets or fewer, only those that may have a similar one there go on.
+FEW = 64
+#: So many shingles are in a block of sets, two of which are compared by a task.
+BLOCK = 1 << 19
 
 
 def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -162,149 +164,171 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "id").mapInArrow(pick, "key long, id long, size long")
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows of keys that more than one component has."""
-    ends = rows.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high")
-    return rows.join(ends.select("key"), "key", "left_semi")
+def _tried(table: pa.Table, least: float, near: Near | None, small: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of two arrays of rows: which pairs may be similar sets that meet first at the rows' key.
 
+    Such sets are near in size and in print, and have enough left after the key, for no shingle before it in either is
+    common. Where the keys just before it (``before``, ``further``) are common, the pair has met there.
+    """
+    packed = table.column("size").to_numpy()
+    size, place = packed & 0xFFFFFFFF, packed >> 32
+    earlier = [(table.column(c).fill_null(0).to_numpy(), table.column(c).is_valid().to_numpy()) for c in ("before", "further")]
+    segments = np.frombuffer(b"".join(table.column("print").to_pylist()), dtype=np.uint16).reshape(len(size), -1) if near else None
+
+    def tried(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        good = (low >= np.ceil(least * high - 1e-9)) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= _least_overlap(low, high, least))
+        for x, has_x in earlier:
+            for y, has_y in earlier:
+                good &= (x[i] != y[j]) | ~has_x[i] | ~has_y[j]
+        at = np.flatnonzero(good)
+        return at if near is None else at[near(segments[i[at]], segments[j[at]])[0] | (low[at] < small)]
+
+    return tried
 
-def _candidates(rows: DataFrame, least: float, near: Near | None, small: int, turn: int | None, pivots: int = 16, block: int = 4096) -> DataFrame:
-    """Distinct pairs (a, b) of sets of one key, apart so far, near in size and in print, with enough left after the key.
 
-    If a key is the first that two sets share, no shingle before it in either is common: what is left has to do. At
-    later keys this is asked as well, for the pair has met before. With a turn, a set meets the first ``pivots`` sets
-    of its key only, others at each key, and is paired with the nearest of them (b); a key of more than ``block`` sets is
-    cut into parts, others in each turn. Without one, any two sets of a key meet, in groups of two blocks.
+def _meeting(rows: DataFrame, least: float, near: Near | None, small: int) -> DataFrame:
+    """The rows (key, id, size, print, before, further) that may have a similar set at a key where they meet first.
+
+    All pairs of a key of up to ``FEW`` sets are tried; the rows of a larger one all stay. A task holds some
+    thousand rows at a time, whatever a key has.
     """
 
-    def tried(i: np.ndarray, j: np.ndarray, size: np.ndarray, place: np.ndarray, component: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        new = (component[i] != component[j]) & (low >= np.ceil(least * high - 1e-9))
-        new = np.flatnonzero(new & (np.minimum(size[i] - place[i], size[j] - place[j]) >= _least_overlap(low, high, least)))
-        if near is None:
-            return new, np.zeros(len(new), dtype=np.int32)
-        good, apart = near(segments[i[new]], segments[j[new]])
-        good |= low[new] < small
-        return new[good], apart[good]
-
-    def pivoted(starts: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        length = np.diff(np.append(starts, n))
-        first, count = np.repeat(starts, length), np.repeat(length, length)
-        best, fewest = np.full(n, -1), np.full(n, np.iinfo(np.int32).max)
-        for p in range(min(pivots, int(length.max(initial=0)))):
-            i = np.flatnonzero(count > p)
-            at, apart = tried(i, first[i] + p, *columns)
-            better = apart < fewest[i[at]]
-            best[i[at][better]], fewest[i[at][better]] = first[i[at][better]] + p, apart[better]
-        i = np.flatnonzero(best >= 0)
-        yield i, best[i]
-
-    group = ["key", "part"] if turn is not None else ["key", "lo", "hi"]
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for table in whole_runs(batches, ["key"], most=FEW):
+            starts, key = run_starts(table, ["key"]), table.column("key").to_numpy()
+            count = np.diff(np.append(starts, len(key)))
+            good = np.repeat(count > FEW, count) | (key == last)
+            last, tried = key[-1], _tried(table, least, near, small)
+            for i, j in pairs(starts, len(key)):
+                some = np.flatnonzero(~good[i] | ~good[j])
+                if not len(some):
+                    break
+                at = some[tried(i[some], j[some])]
+                good[i[at]] = good[j[at]] = True
+            yield from table.filter(pa.array(good)).to_batches()
+
+    by_id = Window.partitionBy("id").orderBy(F.shiftright("size", 32))
+    known = rows.withColumns({"before": F.lag("key").over(by_id), "further": F.lag("key", 2).over(by_id)})
+    known = known.select("key", "id", "size", "print", "before", "further")
+    return known.repartition("key").sortWithinPartitions("key").mapInArrow(keep, known.schema)
+
+
+def _candidates(rows: DataFrame, least: float, near: Near | None, small: int, block: int) -> DataFrame:
+    """Rows (key, lo, hi, part, id): the sets to compare in each group of a key's blocks, those that may have a similar one there.
+
+    A key's sets are dealt out to blocks of about ``block`` shingles, and any two blocks are a group. A row comes from
+    each group a set is in, not from each pair, so groups of sets that are alike make no more rows for having more pairs.
+    """
+    group = ["key", "lo", "hi"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, group):
-            starts = run_starts(table, group)
-            ids, packed, component, part = (table.column(c).to_numpy() for c in ("id", "size", "component", "part"))
-            segments = np.frombuffer(b"".join(table.column("print").to_pylist()), dtype=np.uint16).reshape(len(ids), -1)
-            columns = packed & 0xFFFFFFFF, packed >> 32, component, segments
-            if turn is None:
-                lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
-                found = ((i[ok], j[ok]) for i, j in pairs(starts, len(ids)) for ok in [np.flatnonzero((part[i] != part[j]) | (lo[i] == hi[i]))])
-                found = ((i[at], j[at]) for i, j in found for at in [tried(i, j, *columns)[0]])
-            else:
-                found = pivoted(starts, len(ids), *columns)
-            for i, j in found:
-                if len(i):
-                    # The pivot, of two others the one with more words in front, is the hub that the other's text comes to.
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(ids[i])], ["a", "b"])
-
-    if turn is None:
-        dealt = in_blocks(rows, "key", "id", block).withColumns({"lo": F.col("pair.lo"), "hi": F.col("pair.hi")}).drop("pair")
-        order = []
-    else:
-        parts = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
-        dealt = rows.join(parts, "key").withColumn("by", F.xxhash64("id", "key", F.lit(turn)))
-        dealt = dealt.withColumn("part", F.pmod("by", F.col("_parts")).cast("int")).drop("_parts")
-        order = ["by"]
-    met = dealt.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(meet, "a long, b long")
-    one = F.array_sort(F.array("a", "b"))
-    return met.groupBy(one.alias("_k")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-
-
-def _similar(found: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, sets: DataFrame, least: float, most: int = 2_000_000, block: int = 512) -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of ``least`` or more.
-
-    One row's text stands for each set. The text of a, once for each ``block`` of its pairs, and that of each b go where
-    the pair is checked, as texts: these are smaller than their sets of hashes. Up to ``most`` wanted sets, rows are
-    picked before anything moves.
+            part, lo, hi = (table.column(c).to_numpy() for c in ("part", "lo", "hi"))
+            good, tried = np.zeros(len(part), dtype=bool), _tried(table, least, near, small)
+            for i, j in pairs(run_starts(table, group), len(part)):
+                new = np.flatnonzero(((part[i] != part[j]) | (lo[i] == hi[i])) & ~(good[i] & good[j]))
+                at = new[tried(i[new], j[new])]
+                good[i[at]] = good[j[at]] = True
+            yield from table.select([*group, "part", "id"]).filter(pa.array(good)).to_batches()
+
+    dealt = in_blocks(rows, "key", "id", block, F.col("size").bitwiseAND(0xFFFFFFFF)).withColumns({"lo": F.col("pair.lo"), "hi": F.col("pair.hi")}).drop("pair")
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(meet, "key long, lo int, hi int, part int, id long")
+
+
+def _forest(sets: list[np.ndarray], part: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect the sets of a group whose similarity is ``least`` or more; sets of one block meet in the group of that block alone.
+
+    A set is compared with all later ones at once that nothing connects to it yet.
     """
-    ends = found.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
+    size = np.array([len(x) for x in sets])
+    start, root = np.cumsum(size) - size, np.arange(len(sets))
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    own, one = np.zeros(int(codes.max(initial=-1)) + 1, dtype=bool), bool((part == part[0]).all())
+    for i in range(len(sets) - 1):
+        low, high = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
+        fit = (root[i + 1 :] != root[i]) & (low > 0) & (low >= np.ceil(least * high - 1e-9)) & (one | (part[i + 1 :] != part[i]))
+        j = i + 1 + np.flatnonzero(fit)
+        if not len(j):
+            continue
+        mine = codes[start[i] : start[i] + size[i]]
+        own[mine] = True
+        first = np.cumsum(size[j]) - size[j]
+        common = np.add.reduceat(own[codes[np.repeat(start[j] - first, size[j]) + np.arange(int(size[j].sum()))]], first, dtype=np.int64)
+        own[mine] = False
+        alike = j[common >= _least_overlap(size[i], size[j], least)]
+        if len(alike):
+            joined = np.unique(root[np.append(alike, i)])
+            root[np.isin(root, joined)] = joined[0]
+    tied = np.flatnonzero(root != np.arange(len(sets)))
+    return tied, root[tied]
+
+
+def _similar(found: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, sets: DataFrame, least: float, most: int = 2_000_000) -> DataFrame:
+    """Links (a, b) that connect the sets of each group in ``found`` whose Jaccard similarity is ``least`` or more.
+
+    One row's text stands for each set. It goes once to each group that the set is in, as a text: these are smaller
+    than their sets of hashes. Up to ``most`` wanted sets, rows are picked before anything moves. A task holds one group.
+    """
+    ends = found.select(F.col("id").alias("_set")).distinct()
     wanted = stored(sets.join(ends, "_set").groupBy("_set").agg(F.min(F.struct(F.col("_id").isNull(), "_id")).alias("f")).select(F.col("_set").alias("set"), F.col("f._id").alias("_wanted")), "jaccard-wanted")
     count = wanted.count()
     chosen = docs.select(F.col(doc_id).alias("_own"), F.col(text).alias("text"))
     picked = chosen.join(F.broadcast(wanted) if count <= most else wanted, chosen["_own"].eqNullSafe(F.col("_wanted"))).select("set", "text")
-    # Rows of one id may have other texts: the set that is asked for tells which is meant.
-    sized = found.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    hubs = sized.select(F.col("a").alias("set"), "parts")
-    kinds = "array<struct<a:bigint,part:int,b:bigint>>"
-    as_b = found.join(sized, "a").select(F.col("b").alias("set"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b").alias("go"))
-    as_a = hubs.select("set", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.col("set").alias("a"), p.alias("part"), F.lit(None).cast("bigint").alias("b")))).alias("go"))
-    goes = as_b.unionByName(as_a)
-    goes = goes.groupBy("set", F.pmod(F.xxhash64("go"), F.lit(64)).alias("_salt")).agg(F.collect_list("go").cast(kinds).alias("gos"))
+    goes = found.select(F.col("id").alias("set"), F.struct("key", "lo", "hi", "part").alias("go"))
+    goes = goes.groupBy("set", F.pmod(F.xxhash64("go"), F.lit(64)).alias("_salt")).agg(F.collect_list("go").alias("gos"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub = own = last = None
+        group, ids, own, part = None, [], [], []
+
+        def links() -> pa.RecordBatch:
+            tied, root = _forest(own, np.array(part), least) if len(own) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in at], pa.int64()) for at in (tied, root)], ["a", "b"])
+
         for batch in batches:
-            a, part, b, known = (batch.column(k).to_pylist() for k in range(4))
-            good = []
+            key, lo, hi, block, known = (batch.column(k).to_pylist() for k in range(5))
             for k, x in enumerate(_parts(batch, "text", shingle)):
+                # Rows of one id may have other texts: the set that is asked for tells which is meant.
                 if _signed([_set_id(x)])[0].as_py() != known[k]:
                     continue
-                if b[k] is None:
-                    hub, own = (a[k], part[k]), x
-                elif (a[k], part[k]) == hub and (*hub, b[k]) != last and len(np.intersect1d(own, x, assume_unique=True)) >= _least_overlap(len(own), len(x), least):
-                    last = (*hub, b[k])
-                    good.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+                if (key[k], lo[k], hi[k]) != group:
+                    yield links()
+                    group, ids, own, part = (key[k], lo[k], hi[k]), [], [], []
+                if not ids or ids[-1] != known[k]:
+                    ids.append(known[k])
+                    own.append(x)
+                    part.append(block[k])
+        yield links()
 
-    moved = picked.join(goes, "set").select("set", "text", F.explode("gos").alias("go")).select("go.a", "go.part", "go.b", "set", "text")
-    dealt = moved.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(test, "a long, b long")
+    moved = picked.join(goes, "set").select("set", "text", F.explode("gos").alias("go")).select("go.key", "go.lo", "go.hi", "go.part", "set", "text")
+    dealt = moved.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "set")
+    return dealt.mapInArrow(test, "a long, b long").distinct()
 
 
-def components(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float, sets: DataFrame, near: Near | None, small: int, turns: int = 3) -> DataFrame:
+def components(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float, sets: DataFrame, near: Near | None, small: int) -> DataFrame:
     """Rows (node, component) of the sets (ids of ``_set``) that links of ``least`` or more connect to others.
 
     ``sets`` are of ``set_ids``. Of two sets of such a similarity, each has one of their common shingles among its first
     ``size - ceil(least * size) + 1`` in any order that all sets follow: they meet at that key, and no pair is missed.
-    Pairs that meet are pruned by their prints (``near``; None prunes nothing) unless a set has fewer than ``small``
-    shingles, and what is left is checked on the sets themselves. Only components matter, so pairs of one component
-    aren't compared, and keys that one component has alone are dropped. While keys hold more pairs than rows, as
-    where many are alike, each set is checked with one other of its key, so a turn makes no more pairs than rows; after
-    ``turns`` of that, or once no more pairs are left than rows (or ``FEW``), it is checked with all that are apart. What a turn stored is deleted as soon as the next one has its own.
+    Rows are dropped if no set of their key may be similar, by size, place and print (``near``; None prunes nothing) unless a
+    set has fewer than ``small`` shingles. What is left is compared on the sets themselves, by groups of bounded size, each of
+    which gives the links that connect its sets, never its pairs. Time still grows with the pairs of those that are
+    alike but not similar; rows don't. What a step stored is deleted as soon as the next one has its own.
     """
-    spark = docs.sparkSession
-    rows = stored(_met(_prefixes(docs, text, shingle, least)), "jaccard-keys")
-    forget(spark)
+    met = stored(_met(_prefixes(docs, text, shingle, least)), "jaccard-keys")
+    forget(docs.sparkSession)
     prints = sets.groupBy(F.col("_set").alias("id")).agg(F.first("print").alias("print"))
-    links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    current = rows.join(prints, "id").withColumn("component", F.col("id"))
-    old: list[DataFrame] = [rows]
-    for turn in range(turns + 1):
-        rows = stored(current, "jaccard-rows")
-        held = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        total = held.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")) / 2, F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-        last = turn == turns or total["pairs"] <= (8 if total["pairs"] <= FEW else 1) * total["rows"]
-        found = stored(_candidates(rows, least, near, small, None if last else turn + 1), "jaccard-pairs")
-        forget(spark)
-        before, links = links, stored(links.unionByName(_similar(found, docs, doc_id, text, shingle, sets, least)), "jaccard-links")
-        forget(spark)
-        linked = stored(connected_components(links), "jaccard-components")
-        discard(*old, found, before)
-        forget(spark)
-        if last:
-            discard(rows, links)
-            return linked
-        old = [rows, linked]
-        joined = rows.drop("component").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        current = _open(joined)
+    rows = stored(_meeting(met.join(prints, "id"), least, near, small), "jaccard-rows")
+    discard(met)
+    forget(docs.sparkSession)
+    found = stored(_candidates(rows, least, near, small, BLOCK), "jaccard-groups")
+    discard(rows)
+    forget(docs.sparkSession)
+    links = stored(_similar(found, docs, doc_id, text, shingle, sets, least), "jaccard-links")
+    discard(found)
+    forget(docs.sparkSession)
+    linked = stored(connected_components(links), "jaccard-components")
+    discard(links)
+    forget(docs.sparkSession)
+    return linked

@@ -137,6 +137,55 @@ def test_pairs_of_groups_of_near_copies_grow_with_their_sets(spark, monkeypatch)
     assert sum(made) <= 3 * len(rows)
 
 
+def test_rows_of_sets_that_are_alike_but_not_similar_grow_with_their_number(spark, monkeypatch):
+    rng, candidates, made = random.Random(13), jaccard._candidates, []
+
+    def counted(*args, **named):
+        out = candidates(*args, **named)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_candidates", counted)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for k in range(120):
+        own = list(base)
+        for at in rng.sample(range(5, 195), 3):
+            own[at] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(own)))
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == kept_by_jaccard(rows)
+    # Most of the 7,140 pairs are near in print and few are similar; before, each that was still apart was a row.
+    assert 0 < sum(made) <= 20 * len(rows)
+
+
+def test_near_copies_are_found_in_blocks(spark, monkeypatch):
+    rows = planted_copies()
+    want = kept_by_jaccard(rows)
+    monkeypatch.setattr(jaccard, "BLOCK", 1500)  # a few sets
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == want
+    monkeypatch.setattr(jaccard, "FEW", 2)  # larger keys go on whole
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows), exact=True).collect()) == want
+
+
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(6)
+    for n, blocks in [(1, 1), (2, 1), (40, 1), (60, 2)]:
+        base = [rng.integers(0, 2**63, 60).astype(np.uint64) for _ in range(4)]
+        sets = [np.unique(np.concatenate([base[k % 4][rng.random(60) < 0.95], rng.integers(0, 2**63, k % 7).astype(np.uint64)])) for k in range(n)]
+        part = rng.integers(0, blocks, n)
+        alike = [(i, j) for i in range(n) for j in range(i) if (blocks == 1 or part[i] != part[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        want = graph.local_roots(n, *np.array(alike, dtype=int).reshape(-1, 2).T)
+        i, j = jaccard._forest(sets, part, 0.8)
+        got = np.arange(n)
+        got[i] = j
+        assert (got == want).all() and len(i) < max(n, 1)
+
+
+def test_long_runs_are_not_held():
+    batches = [pa.RecordBatch.from_pydict({"k": [k] * 10}) for k in [1] * 9 + [2]]
+    got = [t.column("k").to_pylist() for t in graph.whole_runs(iter(batches), ["k"], least=20, most=15)]
+    assert sum(got, []) == [1] * 90 + [2] * 10 and max(map(len, got)) <= 30
+
+
 def test_near_copies_are_found(spark):
     import corpus_pipeline
 
