@@ -416,6 +416,18 @@ def test_url_weights_against_numpy(spark):
     assert np.allclose(weights, w, atol=1e-6)
 
 
+def test_url_training_keeps_weights_out_of_plans(spark):
+    kept = spark._jsparkSession.sharedState().statusStore()  # texts of plans, which the driver holds on to
+    spark.range(1).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = max(kept.executionsList().apply(i).executionId() for i in range(kept.executionsList().size()))
+    urls.train(urls.labelled_urls(spark, 300), rounds=3)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = [kept.executionsList().apply(i) for i in range(kept.executionsList().size())]
+    sizes = [len(r.physicalPlanDescription()) for r in runs if r.executionId() > before]
+    assert len(sizes) >= 4 and max(sizes) < 50_000
+
+
 def test_url_model_knows_unseen_hosts(spark):
     bad = [f"{a}-{b}" for a, b in zip("casino cheap adult spam ads free poker loans track".split(), "farm shop city win pills bets market press lab".split())]
     bad += ["spamfarm", "casinocity", "ads-tracking", "bets365x", "pillsmarket"]
